@@ -55,7 +55,7 @@ def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path, pattern = bpe_json(), split_pattern()
-    return packing.pack(packing.pieces(docs, lambda: packing.CachedEncoder(path, pattern)), docs.select("doc_id").count())
+    return packing.pack(packing.pieces(docs, lambda: packing.Encoder(path, pattern)), docs.select("doc_id").count())
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in sequences of at most 2048 tokens."""
     path, pattern = bpe_json(), split_pattern()
-    return packing.pack(packing.pieces(docs, lambda: packing.CachedEncoder(path, pattern)), docs.select("doc_id").count())
+    return packing.pack(packing.pieces(docs, lambda: packing.Encoder(path, pattern)), docs.select("doc_id").count())
 
 
 STAGES = [
