@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Texts are split by the tokenizer's pattern into words, block by block; each distinct word of the corpus is encoded once, in
-the JVM: an aggregate over its byte array merges the neighbours of lowest rank until no merge is left. Bytes are held as
-Latin-1 strings, ranks as a literal array of small maps picked by crc32, so a look-up costs the same for any vocabulary.
-The ids go back to the blocks by a shuffle join on the word, and each block, bounded in size, puts its documents together.
-Decoding concatenates the byte strings of the ids.
+Texts are split by the tokenizer's pattern into words, and distinct words are encoded in the JVM: an aggregate over a
+word's byte array merges the neighbours of lowest rank until no merge is left. Bytes are held as Latin-1 strings, ranks as a
+literal array of small maps picked by crc32, so a look-up costs the same for any vocabulary. The words met most in the
+whole corpus, at most COMMON of them, are encoded once and broadcast; the other distinct words of a block of documents
+are encoded where the block is, so that no text, word or id is shuffled. Decoding concatenates the byte strings of the ids.
 
 Words of over FOLD_BYTES bytes, for which a fold takes time that grows with the square, are merged exactly by a heap.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to nothing; special tokens in a text are ordinary text;
-a null doc_id and repeated rows are kept as they are; very long texts make a block of their own; other columns are ignored.
+a null doc_id and repeated rows are kept as they are; a very long text makes a block of its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,21 +18,21 @@ import base64
 import heapq
 import json
 import zlib
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import materialize
+from asofkit.llm.common import drop_materialized, materialize
+from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
-FOLD_BYTES, BLOCK_CHARS, MAPS = 128, 24 << 20, 1 << 15
+FOLD_BYTES, BLOCK_CHARS, MAPS = 128, 8 << 20, 1 << 15
+#: Words that are broadcast with their ids: at most about 40 MB.
+COMMON = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,27 +59,28 @@ class RankTable:
         return F.get(self.table, F.pmod(F.crc32(s.cast("binary")), F.lit(MAPS)).cast("int")).getItem(s)
 
     def merge(self, s: Column) -> Column:
-        """Ids of the byte string s (bytes as Latin-1): a fold that merges one pair of lowest rank a step, the leftmost first."""
+        """Ids of the byte string s (bytes as Latin-1): a fold that merges one pair of lowest rank a step, the leftmost first.
+
+        The state holds the pieces, and for each piece the rank of the merge with the next one.
+        """
         none = F.lit(2**31 - 1)
-        rank = lambda a, b: F.coalesce(self.rank(F.concat(a, b)), none)
-        bytes_ = F.split(s, "")
-        start = _let(bytes_, lambda p: F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), rank).alias("r")))
-
-        def at(acc: Column, k: Column) -> Column:
-            p, r, n = acc["p"], acc["r"], F.size(acc["p"])
-            pair = F.concat(F.get(p, k), F.get(p, k + 1))
-            before = F.when(k > 0, F.array(rank(F.get(p, k - 1), pair))).otherwise(F.array().cast("array<int>"))
-            after = F.when(k + 2 < n, F.array(rank(pair, F.get(p, k + 2)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, k), F.array(pair), F.slice(p, k + 3, n)).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(k - 1, F.lit(0))), before, after, F.slice(r, k + 3, n)).alias("r"),
+        rank = lambda a, b: _let(F.concat(a, b), lambda x: F.coalesce(self.rank(x), none))
+        start = _let(F.split(s, ""), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
+
+        def merged(acc: Column, k: Column) -> Column:
+            p = acc["p"]
+            without = lambda x, i: i != k + 1
+            pieces = lambda pair: F.filter(F.transform(p, lambda x, i: F.when(i == k, pair).otherwise(x)), without)
+            ranks = lambda pair: F.filter(
+                F.transform(acc["r"], lambda x, i: F.when(i == k, rank(pair, F.get(p, k + 2))).when(i == k - 1, rank(F.get(p, i), pair)).otherwise(x)), without
             )
+            return _let(F.concat(F.get(p, k), F.get(p, k + 1)), lambda pair: F.struct(pieces(pair).alias("p"), ranks(pair).alias("r")))
 
         def step(acc: Column, _: Column) -> Column:
-            low = _let(F.array_min(acc["r"]), lambda m: F.when(m < none, F.array_position(acc["r"], m).cast("int") - 1))
-            return _let(low, lambda k: F.when(k.isNull(), acc).otherwise(at(acc, k)))
+            first = lambda m: F.array_position(acc["r"], m).cast("int") - 1
+            return _let(F.array_min(acc["r"]), lambda m: F.when(m == none, acc).otherwise(_let(first(m), lambda k: merged(acc, k))))
 
-        fold = F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), start, step, lambda acc: F.transform(acc["p"], self.rank))
+        fold = F.aggregate(F.sequence(F.lit(2), F.length(s)), start, step, lambda acc: F.transform(acc["p"], self.rank))
         return _let(self.rank(s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold))
 
 
@@ -105,87 +106,110 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
-    """Yield (block, ids, words in order of first sight, code arrays): runs of documents of bounded size, the same on every reading."""
-    find, task, count = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
-    ids, index, codes, held = [], {}, [], 0
-    for b in batches:
-        for i, text in zip(b.column(0), b.column(1), strict=True):
-            text = text.as_py() or ""
-            if held and held + len(text) > BLOCK_CHARS:
-                yield task << 32 | count, ids, list(index), codes
-                count += 1
-                ids, index, codes, held = [], {}, [], 0
-            words = find(text)
-            ids.append(i.as_py())
-            codes.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.uint32, len(words)))
-            held += len(text) + 1
-    if ids:
-        yield task << 32 | count, ids, list(index), codes
-
-
-def _check(words: list[str]) -> int:
-    return zlib.crc32("\n".join(words).encode())
-
-
 def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of each text."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranks = load_ranks(ranks_path)
-
-    def words(batches):
-        for block, _, words, _ in _blocks(batches, pattern):
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["block", "i", "word"])
-
-    def texts(batches):
-        pack = zstandard.ZstdCompressor(1).compress
-        for block, ids, words, codes in _blocks(batches, pattern):
-            check = _check(words)
-            for at in range(0, len(ids), 500):
-                part = codes[at : at + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(part)), pa.array(ids[at : at + 500], pa.int64()), pa.array([pack(c.view(np.uint8).reshape(-1, 4).T.tobytes()) for c in part], pa.binary()), pa.array([check] * len(part))],
-                    ["block", "doc_id", "codes", "check"],
-                )
-
-    seen = materialize(docs.mapInArrow(words, "block long, i int, word string"), "words")
     table = RankTable(ranks)
-    word = seen.select("word").distinct()
-    short = word.where(F.octet_length("word") <= FOLD_BYTES).select("word", table.merge(F.decode(F.col("word").cast("binary"), "ISO-8859-1")).alias("ids"))
-    known = docs.sparkSession.sparkContext.broadcast(ranks)
+    bytes_of = lambda w: F.decode(w.cast("binary"), "ISO-8859-1")
+    short = lambda w: F.octet_length(w) <= FOLD_BYTES
 
-    def heaped(batches):
+    def count(batches):
+        split = Splitter(pattern)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([heap_merge(w.as_py().encode(), known.value) for w in b.column(0)], pa.list_(pa.int32()))], ["word", "ids"])
-
-    long = word.where(F.octet_length("word") > FOLD_BYTES).mapInArrow(heaped, "word string, ids array<int>")
-    coded = seen.join(short.union(long), "word").select("block", "i", "word", "ids")
+            words: Counter[str] = Counter()
+            for text in b.column(0):
+                words.update(split(text.as_py() or ""))
+                if len(words) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+                    words.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where((F.col("n") > 1) & short(F.col("word"))), "counts")
+    # the least count with which at most COMMON words are common
+    steps = {r["n"]: r["count"] for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()}
+    least, held = 10_001, 0
+    while least > 2 and held + steps.get(least - 1, 0) <= COMMON:
+        least -= 1
+        held += steps.get(least, 0)
+    common = counts.where(F.col("n") >= least).select("word", table.merge(bytes_of(F.col("word"))).alias("ids")).toArrow().combine_chunks()
+    drop_materialized(counts)
+    words = common.column("word").to_pylist()
+    lists = common.column("ids").combine_chunks() if common.num_rows else pa.array([], pa.list_(pa.int32()))
+    token = [x.astype("<u4").tobytes() for x in _split_lists(lists)]
+    spark = docs.sparkSession
+    known_words, known_ids = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((token, ranks))
+    del common, lists
+
+    def block(batches):
+        index, split = _kept(known_words, "index", lambda v: {w: i for i, w in enumerate(v)}), Splitter(pattern)
+        known, pack = len(index), zstandard.ZstdCompressor(1).compress
+        ids, codes, rare, held = [], [], {}, 0
+
+        def row():
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((ids, codes, list(rare)), kinds, strict=True)], ["doc_ids", "codes", "rare"])
 
-    def put(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                text = text.as_py() or ""
+                if held and held + len(text) > BLOCK_CHARS:
+                    yield row()
+                    ids, codes, rare, held = [], [], {}, 0
+                found = split(text)
+                c = list(map(index.get, found))
+                if None in c:
+                    c = [k if k is not None else known + rare.setdefault(w, len(rare)) for k, w in zip(c, found, strict=True)]
+                ids.append(i.as_py())
+                codes.append(pack(np.array(c, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+                held += len(text) + 1
+        if ids:
+            yield row()
+
+    def put(batches):
+        token, ranks = known_ids.value
+        pieces = _kept(known_ids, "pieces", lambda v: {r: p for p, r in v[1].items()})
+        decode = lambda t: b"".join([pieces[x] for x in np.frombuffer(t, "<u4").tolist()])
+        common = _kept(known_ids, "decoded", lambda v: list(map(decode, v[0])))
         unpack = zstandard.ZstdDecompressor().decompress
-        right = right.combine_chunks().sort_by("i")
-        words = right.column("word").to_pylist()
-        if left.num_rows and set(left.column("check").to_pylist()) != {_check(words)}:
-            raise RuntimeError("a block changed between two readings of the documents")
-        lists = right.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]) if len(lists) else np.zeros(1, np.int64)
-        pieces = {r: p for p, r in known.value.items()}
-        token = [flat[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)]
-        back = [b"".join([pieces[x] for x in flat[a:z].tolist()]) for a, z in zip(ends, ends[1:], strict=False)]
-        ids, decoded = [], []
-        for c in left.column("codes").to_pylist():
-            raw = np.frombuffer(unpack(c), np.uint8)
-            code = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().tolist() if len(raw) else []
-            ids.append(b"".join([token[k] for k in code]))
-            decoded.append(b"".join([back[k] for k in code]))
-        return pa.table([left.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    coded = coded.groupBy("block")
-    return docs.mapInArrow(texts, "block long, doc_id long, codes binary, check long").groupBy("block").cogroup(coded).applyInArrow(put, "doc_id long, ids binary, decoded binary")
+        for b in batches:
+            for at in range(b.num_rows):
+                doc_ids, codes, rare, merged = (b.column(k).slice(at, 1).flatten() for k in range(4))
+                mine = [x.astype("<u4").tobytes() for x in _split_lists(merged)]
+                for k in np.flatnonzero(merged.is_null().to_numpy(zero_copy_only=False)):
+                    mine[k] = np.array(heap_merge(rare[int(k)].as_py().encode(), ranks), "<u4").tobytes()
+                own, texts = len(token), list(map(decode, mine))
+                for a in range(0, len(doc_ids), 1000):
+                    out_ids, out = [], []
+                    for c in codes.slice(a, 1000).to_pylist():
+                        raw = np.frombuffer(unpack(c), np.uint8)
+                        code = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().tolist() if len(raw) else []
+                        out_ids.append(b"".join([token[k] if k < own else mine[k - own] for k in code]))
+                        out.append(b"".join([common[k] if k < own else texts[k - own] for k in code]))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 1000), pa.array(out_ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    blocks = docs.mapInArrow(block, "doc_ids array<long>, codes array<binary>, rare array<string>")
+    blocks = blocks.withColumn("merged", F.transform("rare", lambda w: F.when(short(w), table.merge(bytes_of(w)))))
+    return blocks.mapInArrow(put, "doc_id long, ids binary, decoded binary")
+
+
+def _split_lists(lists: pa.ListArray) -> list[np.ndarray]:
+    """Each list of an Arrow list array as numpy; a null list is empty."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
+
+
+_held: dict[str, tuple[object, object]] = {}
+
+
+def _kept(shared, name: str, make):
+    """make(value of a broadcast), kept for later tasks of the same Python worker."""
+    value = shared.value
+    if name not in _held or _held[name][0] is not value:
+        _held[name] = (value, make(value))
+    return _held[name][1]
 
 
 def digest(encoded: DataFrame) -> DataFrame:
