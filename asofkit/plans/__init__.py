@@ -1 +1,8 @@
+"""Registered queries: each a function of (spark, folder of tables) with SQL that says the same."""
 
+from __future__ import annotations
+
+from asofkit.plans import aggregates, asof, evaluation, lifecycles, simulation, text
+from asofkit.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "aggregates", "asof", "evaluation", "lifecycles", "simulation", "text"]
