@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are the words of labelled texts that chi-squared ties to a label; a text's vector holds (1 + ln tf) * idf of them.
+Terms are words, and beginnings of words, that chi-squared ties to a label over labelled texts, of which near copies count
+once; a text's vector holds (1 + ln tf) * idf of them.
 The index holds a bounded sample of labelled vectors in blocks; for each term it has the postings of every block and the
 largest weight in the block. A query sums those maxima into a bound for each block and scores blocks by falling bound
 until the bound is below the k-th best cosine found, so the k nearest are exact. Their votes, weighted by nearness and
@@ -15,6 +16,7 @@ with no labelled row the score is 0; rows that repeat a doc_id are scored alike.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,13 +24,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import lean
+
 WORDS = re.compile(r"[^\W\d_]+")
 #: At most about so many labelled texts of each label, so many terms; a term needs so many texts and chi-squared at least.
 SAMPLE_TEXTS, TERMS, TERM_TEXTS, TERM_CHI2 = 2000, 2048, 5, 25.0
+#: Letters of the beginnings of words that are terms too.
+PREFIXES = (4, 5)
 BLOCK, NEAREST = 64, 15
 THRESHOLD = 0.3
 
 
+def bag_of(text: str | None) -> Counter:
+    """Counts of the words and of their beginnings, which `^` marks."""
+    words = Counter(WORDS.findall((text or "").lower()))
+    out = Counter(words)
+    for w, n in words.items():
+        for k in PREFIXES:
+            if len(w) > k:
+                out["^" + w[:k]] += n
+    return out
+
+
+def first_copies(texts: list[str | None]) -> list[bool]:
+    """Whether a text shares none of three minimum hashes of its three-word runs with a text before it; near copies nearly always do."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for text in texts:
+        words = (text or "").lower().split()
+        runs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))}
+        keys = {(k, min((r * m + k) & 0xFFFFFFFF for r in runs)) for k, m in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))}
+        out.append(not keys & seen)
+        seen |= keys
+    return out
+
+
 class BlockMaxIndex:
     """Inverted index of unit vectors: postings by term and block, and the largest weight of a term in a block."""
 
@@ -76,21 +106,17 @@ class Model:
         rows = sorted(rows)
         self.k, self.ids, self.labels = nearest, [r[0] for r in rows], np.array([r[2] for r in rows], float)
         self.weight = np.array([r[3] for r in rows], float)
-        bags = [Counter(WORDS.findall((r[1] or "").lower())) for r in rows]
-        df, pos, all_pos, total = Counter(), Counter(), float(self.weight @ self.labels) if rows else 0.0, float(self.weight.sum())
-        seen = Counter()
-        for bag, y, w in zip(bags, self.labels, self.weight, strict=True):
+        bags = [bag_of(r[1]) for r in rows]
+        total, all_pos = float(self.weight.sum()), float(self.weight @ self.labels) if rows else 0.0
+        df, seen, have, n, plain_pos = Counter(), Counter(), Counter(), 0, 0
+        for bag, y, w, new in zip(bags, self.labels, self.weight, first_copies([r[1] for r in rows]), strict=True):
             for t in bag:
-                seen[t] += 1
                 df[t] += w
+            if new:  # chi-squared on plain counts, so that neither weights nor copies inflate it
+                n, plain_pos = n + 1, plain_pos + int(y)
+                seen.update(bag.keys())
                 if y:
-                    pos[t] += w
-        # chi-squared on the sample's own counts, so that weights do not inflate it
-        have, n = Counter(), max(len(rows), 1)
-        plain_pos = float(self.labels.sum())
-        for bag, y in zip(bags, self.labels, strict=True):
-            if y:
-                have.update(bag.keys())
+                    have.update(bag.keys())
         chosen = []
         for t, c in seen.items():
             if c >= TERM_TEXTS and 0 < plain_pos < n:
@@ -134,7 +160,12 @@ class Model:
         return up / down, evidence
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        vector = self.vector(Counter(WORDS.findall((text or "").lower())))
+        counts: Counter[str] = Counter()
+        for w, n in Counter(WORDS.findall((text or "").lower())).items():
+            for t in (w, *("^" + w[:k] for k in PREFIXES if len(w) > k)):
+                if t in self.terms:
+                    counts[t] += n
+        vector = self.vector(counts)
         if not len(vector[0]) or self.steps is None:
             return self.bare, []
         raw, evidence = self.vote(vector)
@@ -186,4 +217,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     base = documents.drop(*[c for c in ("score", "predicted", "evidence") if c in documents.columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>")
+    return base.mapInArrow(lean(run), f"{schema}, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>")
