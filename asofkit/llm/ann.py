@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import lean
+
 #: Tables, cells probed in each (of the first rotation, and of the second for each of those), and vectors that a cell may hold.
 TABLES, PROBES, PROBES_SECOND, CELL_ROWS = 10, 12, 24, 20_000
 
@@ -88,7 +90,7 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
                     at = np.repeat(who, first.shape[1])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(first.ravel().astype(np.int64)), pa.array(ids[at]), blobs.take(pa.array(at)), pa.array(np.full(len(at), want))], ["t", "cell", "id", "v", "probe"])
 
-    placed = rows.mapInArrow(place, "t int, cell long, id long, v binary, probe boolean")
+    placed = rows.mapInArrow(lean(place), "t int, cell long, id long, v binary, probe boolean")
     # a cell with many vectors is dealt over blocks; its probes go to each of them
     sizes = placed.where("not probe").groupBy("t", "cell").count().withColumn("blocks", F.ceil(F.col("count") / CELL_ROWS).cast("int")).where("blocks > 1").select("t", "cell", "blocks")
     dealt = placed.join(sizes, ["t", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_materialized, materialize
+from asofkit.llm.common import drop_materialized, lean, materialize
 from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
@@ -55,16 +55,20 @@ class RankTable:
             maps[zlib.crc32(s.encode()) % MAPS][s] = rank
         self.table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
-    def rank(self, s: Column) -> Column:
-        return F.get(self.table, F.pmod(F.crc32(s.cast("binary")), F.lit(MAPS)).cast("int")).getItem(s)
+    @staticmethod
+    def rank(table: Column, s: Column) -> Column:
+        return F.get(table, F.pmod(F.crc32(s.cast("binary")), F.lit(MAPS)).cast("int")).getItem(s)
 
     def merge(self, s: Column) -> Column:
         """Ids of the byte string s (bytes as Latin-1): a fold that merges one pair of lowest rank a step, the leftmost first.
 
         The state holds the pieces, and for each piece the rank of the merge with the next one.
         """
+        return _let(self.table, lambda table: self._merge(table, s))
+
+    def _merge(self, table: Column, s: Column) -> Column:
         none = F.lit(2**31 - 1)
-        rank = lambda a, b: _let(F.concat(a, b), lambda x: F.coalesce(self.rank(x), none))
+        rank = lambda a, b: _let(F.concat(a, b), lambda x: F.coalesce(self.rank(table, x), none))
         start = _let(F.split(s, ""), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x, i: rank(x, F.get(p, i + 1))).alias("r")))
 
         def merged(acc: Column, k: Column) -> Column:
@@ -80,8 +84,8 @@ class RankTable:
             first = lambda m: F.array_position(acc["r"], m).cast("int") - 1
             return _let(F.array_min(acc["r"]), lambda m: F.when(m == none, acc).otherwise(_let(first(m), lambda k: merged(acc, k))))
 
-        fold = F.aggregate(F.sequence(F.lit(2), F.length(s)), start, step, lambda acc: F.transform(acc["p"], self.rank))
-        return _let(self.rank(s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold))
+        fold = F.aggregate(F.sequence(F.lit(2), F.length(s)), start, step, lambda acc: F.transform(acc["p"], lambda x: self.rank(table, x)))
+        return _let(self.rank(table, s), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(fold))
 
 
 def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,7 +129,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     words.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where((F.col("n") > 1) & short(F.col("word"))), "counts")
     # the least count with which at most COMMON words are common
     steps = {r["n"]: r["count"] for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()}
@@ -189,9 +193,9 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                         out.append(b"".join([common[k] if k < own else texts[k - own] for k in code]))
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 1000), pa.array(out_ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    blocks = docs.mapInArrow(block, "doc_ids array<long>, codes array<binary>, rare array<string>")
+    blocks = docs.mapInArrow(lean(block), "doc_ids array<long>, codes array<binary>, rare array<string>")
     blocks = blocks.withColumn("merged", F.transform("rare", lambda w: F.when(short(w), table.merge(bytes_of(w)))))
-    return blocks.mapInArrow(put, "doc_id long, ids binary, decoded binary")
+    return blocks.mapInArrow(lean(put), "doc_id long, ids binary, decoded binary")
 
 
 def _split_lists(lists: pa.ListArray) -> list[np.ndarray]:
@@ -229,5 +233,5 @@ def digest(encoded: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(" ".join([names[i] for i in ids.tolist()]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(sha, pa.string()), b.column(2)], ["doc_id", "n_tokens", "ids_sha256", "d"])
 
-    out = encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("d")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, d string")
+    out = encoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("d")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, d string")
     return out.withColumnRenamed("d", "decoded_sha256")

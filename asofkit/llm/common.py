@@ -5,6 +5,8 @@ Word hashing works on the UTF-8 bytes of an Arrow column with numpy, so no Pytho
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +23,30 @@ CHUNK = 2 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for later tasks, and what they hold counts as used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(f):
+    """A function from batches to batches that gives its memory back at the end of a task."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10,000: texts are long, and every batch is held on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -173,8 +199,8 @@ def bitmap_of(hashes: DataFrame, bits: int) -> bytes:
                 got |= np.frombuffer(m, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([got.tobytes()], pa.binary())], ["m"])
 
-    parts = hashes.select("h").coalesce(12).mapInArrow(part, "m binary")
-    out = parts.coalesce(1).mapInArrow(merge, "m binary").collect()
+    parts = hashes.select("h").coalesce(12).mapInArrow(lean(part), "m binary")
+    out = parts.coalesce(1).mapInArrow(lean(merge), "m binary").collect()
     return bytes(out[0].m) if out else bytes((1 << bits) // 8)
 
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import lean
+
 #: Letters only, so that digits, marks and junk say nothing.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece in characters, with the mark that starts a word; longer words are scored in stretches of LONGEST_WORD.
@@ -154,7 +156,7 @@ def train(labelled: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    totals = chosen.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    totals = chosen.select("text", "lang").mapInArrow(lean(words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     for x in totals.withColumn("_r", rank).where(F.col("_r") <= SAMPLE_WORDS).collect():
@@ -203,7 +205,7 @@ def identify(documents: DataFrame, model: tuple[list[str], list[str], np.ndarray
 
     base = documents.drop(*[c for c in ("lang_pred", "score") if c in documents.columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return base.mapInArrow(lean(run), f"{schema}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id"):

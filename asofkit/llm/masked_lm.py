@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.llm.common import drop_materialized, lean, materialize
+
 #: Vocabulary, words with a class of their own, classes for the rest inside and outside the vocabulary, tokens on either side, hidden units.
 VOCABULARY, HEAD, TAIL, WINDOW, HIDDEN = 30_000, 96, 16, 2, 32
 CLASSES = HEAD + 2 * TAIL
@@ -146,13 +148,11 @@ def word_counts(documents: DataFrame) -> DataFrame:
                     c.update((t or "").lower().split())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def train(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Vocabulary and counts from all documents, the network from a bounded sample of them."""
-    from asofkit.llm.common import drop_materialized, materialize
-
     counts = materialize(word_counts(documents), "counts")
     total, types = counts.agg(F.sum("n"), F.count("*")).first()
     words = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
@@ -179,4 +179,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double")

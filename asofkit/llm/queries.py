@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asofkit.llm import ann, bpe, fingerprint, language_id, masked_lm, ngram_jaccard, packing, substring_dedup, toxicity, url_rules
-from asofkit.llm.common import table
+from asofkit.llm.common import small_batches, table
 from asofkit.llm.language_id import held_out
 from asofkit.llm.parameters import bpe_json, bpe_ranks, split_pattern, unigram_vocabulary
 
@@ -70,8 +71,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+
+def _lean(f):
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _lean(f)
     for f in (op1_language_id, op2_ngram_jaccard, op3_fingerprints, op4_toxicity, op5_masked_lm, op6_url_rules, op7_cross_polytope, op8_best_two_fit, op9_byte_bpe, op10_substring_dedup, pipeline)
 }
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import BROADCAST_IDS, WORD, bitmap_bits, bitmap_of, drop_materialized, gram_hashes, in_bitmap, materialize, mix, text_chunks, word_hashes
+from asofkit.llm.common import BROADCAST_IDS, WORD, bitmap_bits, bitmap_of, drop_materialized, gram_hashes, in_bitmap, lean, materialize, mix, text_chunks, word_hashes
 
 #: Words of a window, and of the k-grams whose smallest hash is its fingerprint.
 WINDOW, GRAM = 13, 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[rows[new]])], ["h", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.mapInArrow(lean(run), "h long, doc_id long")
 
 
 class WindowIndex:
@@ -123,7 +123,7 @@ def repeated_windows(docs: DataFrame, met: list[DataFrame], window: int, gram: i
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(w[hit].view(np.int64)), pa.array(ids[rows[hit]]), pa.array(start[hit].astype(np.int32))], ["w", "doc_id", "at"])
 
-    rows = docs.mapInArrow(run, "w long, doc_id long, at int")
+    rows = docs.mapInArrow(lean(run), "w long, doc_id long, at int")
     first = rows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "first")
     return rows.join(first, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
@@ -182,7 +182,7 @@ def remove_repeats(documents: DataFrame, batches: int = 2, window: int = WINDOW,
     clash = [c for c in ("n_words", "n_removed", "kept") if c in documents.columns]
     both = both.drop(*clash)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "_starts")
-    return both.mapInArrow(cut, f"{schema}, n_words long, n_removed long, kept string")
+    return both.mapInArrow(lean(cut), f"{schema}, n_words long, n_removed long, kept string")
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asofkit.llm import language_id, ngram_jaccard, packing, substring_dedup, toxicity
-from asofkit.llm.common import keep_ids, materialize, table
+from asofkit.llm.common import keep_ids, materialize, small_batches, table
 from asofkit.llm.language_id import held_out
 from asofkit.llm.parameters import bpe_json, split_pattern, unigram_vocabulary
 
@@ -25,6 +25,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; those without letters or of undecided language go."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = language_id.train(docs.where(~held_out()).select("doc_id", "text", "lang"), unigram_vocabulary())
     known = language_id.identify(docs, model)
@@ -33,12 +34,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted to be toxic."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("toxic").alias("label"))
     return toxicity.score(docs.select(*COLUMNS), toxicity.train(docs, labels)).where("predicted = 0").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest doc_id, of each group linked by n-gram Jaccard."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     linked = materialize(ngram_jaccard.link_documents(docs), "linked")
     kept = keep_ids(docs, linked.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
@@ -51,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; a document all of whose words go is dropped."""
+    small_batches(spark)
     cut = substring_dedup.remove_repeats(docs.select(*COLUMNS)).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     return cut.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
@@ -58,6 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces of the documents in sequences of at most 2048 tokens."""
+    small_batches(spark)
     path, pattern = bpe_json(), split_pattern()
     return packing.pack(packing.pieces(docs, lambda: packing.Encoder(path, pattern)), docs.select("doc_id").count())
 
