@@ -1,0 +1,298 @@
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from asofkit.llm import ann, bpe, common, fingerprint, language_id, masked_lm, ngram_jaccard, packing, substring_dedup, toxicity, url_rules
+from asofkit.llm.language_id import held_out
+from asofkit.llm.parameters import bpe_json, bpe_ranks, split_pattern, unigram_vocabulary
+from asofkit.llm.queries import QUERIES, URL_RULES
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, score string"
+
+
+def frame(spark, texts, start=0):
+    """Documents with columns whose names clash with those that operators add."""
+    return spark.createDataFrame([(start + i if not isinstance(t, tuple) else t[0], t if not isinstance(t, tuple) else t[1], "en", "s", 0, "x", 1, "y") for i, t in enumerate(texts)], SCHEMA)
+
+
+def prose(seed, n, words=300):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return [f"w{k}" for k in rng.integers(0, words, n)]
+
+
+def edge_texts():
+    return [None, "", " \n\t ", "one", "one", "a b c d", "é中 １²", "x" * 3000, " ".join(prose(1, 4000)), (5, "one"), (None, "null id"), (None, None)]
+
+
+def linked_by_force(rows, percent=75):
+    low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_copies(n, seed=3):
+    """Copies of one text with many kinds of edits, some too far to link, and others that share a passage only."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    base, out = prose(2, 120, 5000), []
+    for i in range(n):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(0, len(w)))] = f"e{rng.integers(0, 10**6)}"
+        out.append(" ".join(w))
+        if i % 3 == 0:
+            out.append(" ".join([*base[:40], *prose(100 + i, 80, 5000)]))
+        if i % 10 == 0:
+            out.append(" ".join(base).upper())
+    return out
+
+
+def test_ngram_links_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "SMALL", 8)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 50)
+    texts = [*near_copies(150), None, "", "one two", "One TWO", *[" ".join(prose(k, 30, 40)) for k in range(30)]]
+    docs = frame(spark, texts)
+    want = linked_by_force(list(enumerate(texts)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.link_documents(docs).collect()}
+    assert got == want
+
+
+def test_ngram_edges(spark):
+    got = ngram_jaccard.link_documents(frame(spark, edge_texts())).collect()
+    assert len(got) == len(edge_texts())
+    assert {r.component_id for r in got if r.doc_id in (3, 4)} == {3}
+    assert ngram_jaccard.link_documents(frame(spark, []).limit(0)).count() == 0
+
+
+def test_repeats_are_those_of_brute_force(spark):
+    shared = " ".join(prose(9, 60, 9999))
+    texts = [*near_copies(40), *[f"{' '.join(prose(k, 20, 9999))} {shared} {' '.join(prose(-k + 99, 9, 9999))}" for k in range(20)], None, "", "short one"]
+    docs = frame(spark, texts)
+    want = substring_dedup.reference(list(enumerate(texts)))
+    for batches in (1, 2, 5):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(substring_dedup.remove_repeats(docs, batches=batches)).collect()}
+        assert got == want
+
+
+def test_repeats_edges(spark):
+    assert substring_dedup.remove_repeats(frame(spark, edge_texts())).count() == len(edge_texts())
+    assert substring_dedup.remove_repeats(frame(spark, []).limit(0)).count() == 0
+
+
+def test_index_compacts_and_finds_history(spark):
+    index = substring_dedup.WindowIndex(fanout=2)
+    text = " ".join(prose(5, 40, 9999))
+    assert index.append(frame(spark, [text])).count() == 0
+    assert index.append(frame(spark, [" ".join(prose(6, 40, 9999))], 10)).count() == 0
+    assert len(index.runs()) == 1
+    assert index.append(frame(spark, [text], 20)).count() > 0
+
+
+def test_bpe_is_tiktoken(spark):
+    import tiktoken
+
+    ranks = bpe.load_ranks(bpe_ranks())
+    engine = tiktoken.Encoding("t", pat_str=split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    texts = [*edge_texts()[:9], "it's  two\n\n \x85x <|endoftext|>", "é" * 100, "a" * 500, "ab" * 90]
+    docs = frame(spark, texts)
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in bpe.encode(docs, bpe_ranks(), split_pattern()).collect()}
+    assert got == {i: (engine.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    row = bpe.digest(bpe.encode(docs, bpe_ranks(), split_pattern())).where("doc_id = 3").first()
+    assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, engine.encode_ordinary("one"))).encode()).hexdigest()
+
+
+def test_packing_ids_and_places(spark):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(bpe_json())
+    exact.encode_special_tokens = True
+    path, pattern = bpe_json(), split_pattern()
+    docs = frame(spark, edge_texts())
+    cut = packing.pieces(docs, lambda: packing.Encoder(path, pattern), 512)
+    got = packing.pack(cut, docs.count(), 512).toPandas()
+    for i, t in enumerate(edge_texts()):
+        if isinstance(t, tuple) or i == 5:
+            continue
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 0]
+        mine = got[got.doc_id == i].sort_values("piece")
+        assert mine.length.sum() == len(ids) and (mine.length <= 512).all()
+        for p in mine.itertuples():
+            assert zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all() and s.length.sum() <= 512
+
+
+def test_best_two_fit_is_tight():
+    rng = np.random.Generator(np.random.PCG64(1))
+    lengths = np.minimum(2048, rng.lognormal(6, 1, 5000).astype(int) + 1)
+    where, offset = packing.best_two_fit(lengths)
+    used = np.bincount(where, lengths)
+    assert used.max() <= 2048 and len(used) <= lengths.sum() / 2048 * 1.01 + 1
+    assert packing.best_two_fit(np.zeros(0, int))[0].size == 0
+
+
+def test_fingerprints(spark):
+    rows = [(i, t) for i, t in enumerate([*near_copies(20), None, "", "one"])]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, [t for _, t in rows])).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+    assert fingerprint.fingerprints(frame(spark, edge_texts())).count() == len(edge_texts())
+    assert fingerprint.fingerprints(frame(spark, []).limit(0)).count() == 0
+
+
+def test_sketch_of_union_is_union_of_sketches(spark):
+    a, b = " ".join(prose(1, 400)), " ".join(prose(2, 50))
+    r = spark.sql("select 1").select(fingerprint.merge(fingerprint.sketch(F.lit(a)), fingerprint.sketch(F.lit(b))).alias("u"), fingerprint.sketch(F.lit(a)).alias("a")).first()
+    assert set(r.a) <= set(r.u) and len(r.a) > 20
+
+
+def test_neighbours_are_mostly_exact(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.normal(size=(2000, 64))
+    x[500:1100] = x[500]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    odd = [(3000, None, 0), (3001, [0.0] * 64, 0), (3002, [float("nan")] * 64, 0), (3003, [1.0, 2.0], 0), (3004, [], 0), (None, [1.0] * 64, 0)]
+    got = ann.search(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank int"), F.pmod("vec_id", F.lit(50)) == 0).toPandas()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        hit += len(set(np.lexsort((np.arange(len(s)), -s))[:5]) & set(g.vec_id))
+        assert list(g.sort_values("rank")["rank"]) == [1, 2, 3, 4, 5]
+    assert hit / (40 * 5) >= 0.9
+    assert ann.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, rank int"), F.pmod("vec_id", F.lit(50)) == 0).count() == 2
+
+
+def test_url_rules(spark):
+    urls = ["http://A.net/x", "http://x.example.net/en/1", "http://example.com/de/1?q#f", "https://b.org/fr/", "http://c.net", None, "no scheme", "http://other.com/en/", "http://a.net/x", "http://net/", "http://notnet/"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(0, "http://A.net/x", "z")], "page_id long, url string, verdict string")
+    got = {r.page_id: r for r in url_rules.judge(pages, URL_RULES).collect()}
+    assert [got[i].rule for i in range(11)] == ["net/", "example.net/en/", "example.com/de/", "org/fr/", None, None, None, None, "net/", "net/", None]
+    assert (got[0].host, got[0].path, got[5].host, got[2].path) == ("a.net", "/x", "", "/de/1")
+    assert got[6].verdict == "allow" and url_rules.judge(pages, URL_RULES).count() == 12
+    assert url_rules.judge(pages.limit(0), URL_RULES).count() == 0
+
+
+def test_mined_rules_are_pruned_and_decide(spark):
+    rows = [(["a", "b"], "block")] * 40 + [(["a"], "allow")] * 20 + [(["c"], "allow")] * 40 + [(["b", "c"], "block")] * 10
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).collect()
+    assert {(tuple(r.tokens), r.verdict) for r in rules} == {(("b",), "block"), (("c",), "allow")}
+
+
+def test_language_and_toxicity_hold_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = language_id.train(docs.where(~held_out()), unigram_vocabulary(), 300)
+    out = language_id.identify(docs.where(held_out()).limit(1500), model)
+    assert out.where("lang = lang_pred").count() >= 0.99 * out.count()
+    tox = toxicity.train(docs, labels.where(~held_out()).select("doc_id", F.col("toxic").alias("label")))
+    got = toxicity.score(docs.where(held_out()).join(labels, "doc_id"), tox).toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.9 and got[got.toxic == 0].predicted.mean() <= 0.02
+    edges = language_id.identify(frame(spark, edge_texts()), model).collect()
+    assert {r.lang_pred for r in edges if not r.text or not r.text.strip()} == {"und"}
+    assert toxicity.score(frame(spark, edge_texts()), tox).count() == len(edge_texts())
+    none = language_id.train(docs.limit(0), unigram_vocabulary())
+    assert language_id.identify(frame(spark, ["word"]), none).first().lang_pred == "und"
+    assert toxicity.train(docs.limit(0), labels.select("doc_id", F.col("toxic").alias("label")).limit(0)).score("x") == (0.0, [])
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "b", "ab", "▁", "▁a"]
+    prob = np.array([[0.2], [0.1], [0.3], [0.15], [0.25], [1e-7]])
+    got = np.exp(language_id.word_logs(["ab"], language_id.Pieces(pieces), prob))[0, 0]
+    by_hand = 0.15 * 0.2 * 0.1 + 0.15 * 0.3 + 0.25 * 0.1
+    assert got == pytest.approx(by_hand, rel=1e-4)
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.Generator(np.random.PCG64(2))
+    vectors = []
+    for _ in range(500):
+        t = np.sort(rng.choice(40, 5, replace=False))
+        w = rng.random(5)
+        vectors.append((t, w / np.sqrt(w @ w)))
+    dense = np.zeros((500, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    index = toxicity.BlockMaxIndex(vectors, 40)
+    for i in range(0, 500, 25):
+        s = np.round(dense @ dense[i], 12)
+        want = [j for j in np.lexsort((np.arange(500), -s))[:10] if s[j] > 0]
+        assert [j for _, j in index.nearest(*vectors[i], 10)] == want
+
+
+def test_masked_lm_prefers_real_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = masked_lm.train(docs)
+    texts = [r.text for r in docs.limit(100).collect()]
+    rng = np.random.Generator(np.random.PCG64(3))
+    mean = lambda x: sum(v for _, v in x) / sum(n for n, _ in x)
+    assert mean(model.score(texts)) > mean(model.score([" ".join(rng.permutation(t.split())) for t in texts])) + 0.05
+    got = {r.doc_id: r for r in masked_lm.score(frame(spark, ["", None, "one"]), model).collect()}
+    assert (got[0].n_tokens, got[1].log_likelihood, got[2].n_tokens) == (0, 0.0, 1)
+    assert masked_lm.score(docs.limit(0), masked_lm.train(docs.limit(0))).count() == 0
+
+
+def test_components(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: r for n, r in root.items() if n != r}
+
+
+def test_pipeline_is_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, common.materialize(stage(spark, kept, SF), name)
+        assert kept.columns == docs.columns and 0 < kept.count() <= before.count()
+        if name == "ngram_jaccard":
+            force = linked_by_force([(r.doc_id, r.text) for r in before.collect()])
+            assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in force.items() if c == i}
+        if name == "substring_dedup":
+            force = substring_dedup.reference([(r.doc_id, r.text) for r in before.collect()])
+            want = {i: sha for i, (n, gone, sha) in force.items() if gone < n or not n}
+            got = {r.doc_id: hashlib.sha256(" ".join(WORD.findall(r.text)).encode()).hexdigest() for r in kept.collect()}
+            assert got == want
+    last = corpus_pipeline.run(spark, SF)
+    assert last.select("doc_id").distinct().count() == kept.count()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_run(spark, name):
+    got = QUERIES[name](spark, SF)
+    assert got.count() > 0 and (name == "pipeline" or name.startswith("op"))
