@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import struct
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: the base58 alphabet
 ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -27,7 +29,7 @@ def base58_text(data: bytes) -> str:
     return "1" * (len(data) - len(data.lstrip(b"\0"))) + out
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def base58_decode(text: pd.Series) -> pd.Series:
     """Bytes of base58 text, null where a character is none of the alphabet's."""
 
@@ -40,7 +42,7 @@ def base58_decode(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base58_encode(data: pd.Series) -> pd.Series:
     return data.map(lambda b: base58_text(bytes(b)), na_action="ignore")
 
@@ -77,10 +79,9 @@ def decode_record(data: bytes, tag: bytes, fields: list[tuple[str, str]]) -> dic
 
 def record_decoder(tag: bytes, fields: list[tuple[str, str]], from_base64: bool = False):
     """A pandas UDF from binary (or base64 text) to a struct of the fields, null where the record is another or cut short."""
-    kinds = {"s": "string", "k": "string", "Q": "decimal(20,0)"}
-    schema = ", ".join(f"{n} {kinds.get(c, 'bigint')}" for n, c in fields)
+    kinds = {"s": T.StringType(), "k": T.StringType(), "Q": T.DecimalType(20, 0)}
 
-    @F.pandas_udf(f"struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    @F.pandas_udf(T.StructType([T.StructField(n, kinds.get(c, T.LongType())) for n, c in fields]))
     def decode(data: pd.Series) -> pd.DataFrame:
         rows = []
         for d in data:
@@ -88,7 +89,7 @@ def record_decoder(tag: bytes, fields: list[tuple[str, str]], from_base64: bool
                 got = None if d is None else decode_record(base64.b64decode(d, validate=True) if from_base64 else bytes(d), tag, fields)
             except ValueError:
                 got = None
-            rows.append([None] * len(fields) if got is None else [got[n] for n, _ in fields])
+            rows.append([None] * len(fields) if got is None else [Decimal(got[n]) if c == "Q" else got[n] for n, c in fields])
         return pd.DataFrame(rows, columns=[n for n, _ in fields], dtype=object)
 
     return decode
