@@ -30,9 +30,9 @@ from asofkit.llm.common import drop_materialized, lean, materialize
 from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
-FOLD_BYTES, BLOCK_CHARS, MAPS = 128, 8 << 20, 1 << 15
-#: Words that are broadcast with their ids: at most about 40 MB.
-COMMON = 400_000
+FOLD_BYTES, BLOCK_CHARS, MAPS = 128, 4 << 20, 1 << 15
+#: Words that are broadcast with their ids: at most about 20 MB.
+COMMON = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -194,7 +194,9 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 1000), pa.array(out_ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     blocks = docs.mapInArrow(lean(block), "doc_ids array<long>, codes array<binary>, rare array<string>")
-    blocks = blocks.withColumn("merged", F.transform("rare", lambda w: F.when(short(w), table.merge(bytes_of(w)))))
+    # written, so that the workers that split and those that join need not be in memory together
+    blocks = materialize(blocks.withColumn("merged", F.transform("rare", lambda w: F.when(short(w), table.merge(bytes_of(w))))), "blocks")
+    known_words.unpersist()
     return blocks.mapInArrow(lean(put), "doc_id long, ids binary, decoded binary")
 
 
