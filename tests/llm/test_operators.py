@@ -10,7 +10,7 @@ import corpus_pipeline
 from asofkit.llm import ann, bpe, common, fingerprint, language_id, masked_lm, ngram_jaccard, packing, substring_dedup, toxicity, url_rules
 from asofkit.llm.language_id import held_out
 from asofkit.llm.parameters import bpe_json, bpe_ranks, split_pattern, unigram_vocabulary
-from asofkit.llm.queries import QUERIES, URL_RULES
+from asofkit.llm.queries import ORACLE, QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -296,3 +296,17 @@ def test_pipeline_is_its_stages(spark):
 def test_queries_run(spark, name):
     got = QUERIES[name](spark, SF)
     assert got.count() > 0 and (name == "pipeline" or name.startswith("op"))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = QUERIES[name](spark, sf)
+    cur = con.execute(ORACLE[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cur.fetchall())
