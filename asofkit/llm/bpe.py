@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_materialized, lean, materialize
+from asofkit.llm.common import drop_materialized, lean, materialize, most_counted
 from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
@@ -131,13 +131,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     counts = docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where((F.col("n") > 1) & short(F.col("word"))), "counts")
-    # the least count with which at most COMMON words are common
-    steps = {r["n"]: r["count"] for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()}
-    least, held = 10_001, 0
-    while least > 2 and held + steps.get(least - 1, 0) <= COMMON:
-        least -= 1
-        held += steps.get(least, 0)
-    common = counts.where(F.col("n") >= least).select("word", table.merge(bytes_of(F.col("word"))).alias("ids")).toArrow().combine_chunks()
+    common = most_counted(counts, "n", COMMON).select("word", table.merge(bytes_of(F.col("word"))).alias("ids")).toArrow().combine_chunks()
     drop_materialized(counts)
     words = common.column("word").to_pylist()
     lists = common.column("ids").combine_chunks() if common.num_rows else pa.array([], pa.list_(pa.int32()))

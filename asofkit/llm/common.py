@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Ids a broadcast may hold (8 bytes each); beyond it a shuffle join is used instead.
 BROADCAST_IDS = 2_000_000
-#: Bytes of text hashed at once.
-CHUNK = 2 << 20
+#: Bytes of text hashed at once; just under a power of two, which the tables of powers double up to.
+CHUNK = (1 << 20) - 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,6 +82,21 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if small else ids, key, how)
 
 
+def most_counted(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows of largest count, at most limit of them: those above a threshold read off a histogram of 64 steps an octave.
+
+    The histogram has a few thousand rows whatever the input, so nothing is sorted or gathered to find the threshold.
+    """
+    step = F.floor(F.log2(F.col(column)) * 64)
+    sizes = sorted(((r["s"], r["count"]) for r in counts.where(F.col(column) > 0).groupBy(step.alias("s")).count().collect()), reverse=True)
+    held, least = 0, None
+    for s, n in sizes:
+        if held + n > limit:
+            break
+        held, least = held + n, s
+    return counts.where(F.lit(False) if least is None else (F.col(column) > 0) & (step >= least))
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.Generator(np.random.PCG64(20240229))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_materialized, lean, materialize
+from asofkit.llm.common import drop_materialized, lean, materialize, most_counted
 
 #: Vocabulary, words with a class of their own, classes for the rest inside and outside the vocabulary, tokens on either side, hidden units.
 VOCABULARY, HEAD, TAIL, WINDOW, HIDDEN = 30_000, 96, 16, 2, 32
@@ -155,7 +155,7 @@ def train(documents: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
     """Vocabulary and counts from all documents, the network from a bounded sample of them."""
     counts = materialize(word_counts(documents), "counts")
     total, types = counts.agg(F.sum("n"), F.count("*")).first()
-    words = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    words = sorted(((r.word, r.n) for r in most_counted(counts, "n", VOCABULARY).collect()), key=lambda x: (-x[1], x[0]))
     model = Model(words, total or 0, types)
     drop_materialized(counts)
     rows = documents.where(F.col("doc_id").isNotNull() & (F.length("text").between(1, SAMPLE_CHARS)))
