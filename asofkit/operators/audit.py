@@ -40,3 +40,11 @@ def set_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Keys of one side only, with the side."""
     left, right = a.select(*key).distinct(), b.select(*key).distinct()
     return left.subtract(right).withColumn("side", F.lit("left")).union(right.subtract(left).withColumn("side", F.lit("right")))
+
+
+def reconcile(parts: DataFrame, whole: DataFrame, key: list[str], part: str, total: str, tolerance: float) -> DataFrame:
+    """One row: keys of one side only, and keys whose parts do not add up to the total within tolerance. Keys of whole are unique."""
+    sums = parts.groupBy(*key).agg(F.sum(part).alias("_s"), F.lit(True).alias("_l"))
+    both = sums.join(whole.select(*key, F.col(total).alias("_t"), F.lit(True).alias("_r")), key, "full")
+    off = F.abs(F.coalesce("_s", F.lit(0)) - F.coalesce("_t", F.lit(0))) > tolerance
+    return both.agg(F.count_if(F.col("_r").isNull()).alias("parts_only"), F.count_if(F.col("_l").isNull()).alias("whole_only"), F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull() & off).alias("unequal"))

@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +37,34 @@ def permuted(df: DataFrame, column: str, key: str, salt: str) -> DataFrame:
     values = df.select(F.row_number().over(order).alias("_n"), F.col(column).alias("_v"))
     rows = df.drop(column).withColumn("_n", F.row_number().over(Window.orderBy(key)))
     return rows.join(values, "_n").withColumnRenamed("_v", column).drop("_n")
+
+
+def gain_importance(model: PipelineModel, columns: list[str], prefix: str = "") -> list[tuple[str, float]]:
+    """(input, share of the gain) of a boosted model of fit(), largest first, for inputs that begin with prefix."""
+    names = [*columns, *[f"{c}_missing" for c in columns]]
+    gains = model.stages[-1].featureImportances.toArray().tolist()
+    return sorted(((n, g) for n, g in zip(names, gains, strict=True) if n.startswith(prefix)), key=lambda x: (-x[1], x[0]))
+
+
+def surrogate(predicted: DataFrame, columns: list[str], threshold: float, depth: int = 4, emphasis: float = 10.0) -> str:
+    """The rules of a shallow tree that imitates predict()'s scores, in which rows at or above threshold weigh more."""
+    inputs = [*[f"{c}_filled" for c in columns], *[f"{c}_missing" for c in columns]]
+    rows = predicted.select("raw", "score").withColumn("emphasis", F.when(F.col("score") >= threshold, emphasis).otherwise(1.0))
+    tree = DecisionTreeRegressor(featuresCol="raw", labelCol="score", weightCol="emphasis", maxDepth=depth, seed=7).fit(rows)
+    text = tree.toDebugString
+    for i in range(len(inputs) - 1, -1, -1):
+        text = text.replace(f"feature {i} ", f"{inputs[i]} ")
+    return text
+
+
+def harder(df: DataFrame, first: PipelineModel, label: str, threshold: float, factor: float) -> DataFrame:
+    """df in which negatives that the first model scores at or above threshold weigh factor times as much, to fit again."""
+    hard = (F.col(label) == 0) & (F.col("score") >= threshold)
+    return predict(first, df).withColumn("weight", F.when(hard, F.col("weight") * factor).otherwise(F.col("weight"))).select(*df.columns)
+
+
+def by_history(df: DataFrame, missing: str, known: PipelineModel, cold: PipelineModel) -> DataFrame:
+    """Scores of one model where a history is known and of another where it is missing; a null flag counts as known."""
+    cold_row = F.coalesce(F.col(missing).cast("boolean"), F.lit(False))
+    keep = [*df.columns, "score"]
+    return predict(known, df.where(~cold_row)).select(*keep).unionByName(predict(cold, df.where(cold_row)).select(*keep))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofkit.plans import aggregates, asof, evaluation, lifecycles, simulation, text
+from asofkit.plans import aggregates, asof, evaluation, lifecycles, regimes, simulation, text
 from asofkit.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "aggregates", "asof", "evaluation", "lifecycles", "simulation", "text"]
+__all__ = ["ORACLE", "QUERIES", "aggregates", "asof", "evaluation", "lifecycles", "regimes", "simulation", "text"]

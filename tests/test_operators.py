@@ -148,3 +148,37 @@ def test_audits(spark):
     assert audit.checksum(df, ["a", "b"]).first() == audit.checksum(df.orderBy("b"), ["a", "b"]).first()
     with pytest.raises(ValueError):
         audit.require_columns(df, {"a", "z"})
+
+
+def test_regimes(spark):
+    from asofkit.operators import regimes
+
+    df = spark.createDataFrame([("a", 1, 0.9, 1.0), ("a", 0, 0.8, 2.0), ("a", 1, 0.7, 3.0), ("b", 0, 0.6, 4.0), ("b", 0, 0.2, None)], "p string, y int, s double, x double")
+    ap = {r.p: r.average_precision for r in regimes.average_precision_by(df, "p", "y", "s").collect()}
+    assert ap["a"] == pytest.approx((1 + 2 / 3) / 2) and ap["b"] == 0
+    got = {r.p: r for r in regimes.regimes(df, "p", "y", "s", 0.75).collect()}
+    assert (got["a"].selected, got["a"].hits, got["a"].own_threshold) == (2, 1, 0.7) and (got["b"].selected, got["b"].f1) == (0, 0)
+    rows = {(r.p, r.factor): (r.selected, r.hits) for r in regimes.threshold_sensitivity(df, "p", "y", "s", 0.4, [0.5, 1.0, 2.0]).collect()}
+    assert rows == {("a", 0.5): (3, 2), ("a", 1.0): (3, 2), ("a", 2.0): (2, 1), ("b", 0.5): (2, 0), ("b", 1.0): (1, 0), ("b", 2.0): (0, 0)}
+    assert {(r.n, r.direction) for r in regimes.feature_effects(df, "x", "y", "s", 2).collect()} == {(2, "decreasing")}
+    assert regimes.regimes(df.limit(0), "p", "y", "s", 0.5).count() == 0
+
+
+def test_promotion():
+    from asofkit.operators import promotion
+
+    assert promotion.decide({"ap": 0.3}, {"ap": 0.2}, {"ap": 0.05})[0] == "PROMOTE"
+    assert promotion.decide({"ap": 0.3}, {"ap": 0.2}, {"ap": 0.05, "f1": 0}) == ("REJECT", {"ap": True, "f1": False})
+    frozen = promotion.freeze({"a": 1, "b": [2]})
+    promotion.verify(frozen)
+    with pytest.raises(ValueError):
+        promotion.verify({**frozen, "a": 2})
+    promotion.require_metrics({"n": 3, "x": 0.1 + 1e-9}, {"n": 3, "x": 0.1}, 1e-6)
+    with pytest.raises(ValueError, match="n"):
+        promotion.require_metrics({"n": 4}, {"n": 3}, 10)
+
+
+def test_reconcile(spark):
+    parts = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0), (4, 1.0)], "k int, v double")
+    whole = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 1.0)], "k int, t double")
+    assert tuple(audit.reconcile(parts, whole, ["k"], "v", "t", 1e-9).first()) == (1, 1, 1)
