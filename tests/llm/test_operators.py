@@ -263,6 +263,31 @@ def test_masked_lm_prefers_real_text(spark):
     assert masked_lm.score(docs.limit(0), masked_lm.train(docs.limit(0))).count() == 0
 
 
+def test_masked_lm_counts_every_word(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "VOCABULARY", 5)
+    monkeypatch.setattr(masked_lm, "SAMPLE_TEXTS", 3)
+    letters = "abcdefghij"
+    often, once = [f"{a}{b}zz" for a in letters for b in letters], [f"q{a}{b}zz" for a in letters for b in letters]
+    texts = ["t u v w x " * 200] + [f"t {a} u" for a in often for _ in range(4)] + [f"t {a} u" for a in once]
+    docs = frame(spark, texts)
+    model = masked_lm.train(docs)
+    got = {r.doc_id: r for r in masked_lm.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    # both words have the class of the ending "zz", past the broadcast ones: only their counts, 4 and 1, tell them apart
+    assert abs(got[1].log_likelihood - got[401].log_likelihood - np.log(4)) < 1e-6
+    for i, (n, x) in zip((0, 1, 401), model.score([texts[0], texts[1], texts[401]]), strict=True):
+        assert n == got[i].n_tokens and abs(x - got[i].log_likelihood) < 1e-6
+
+
+def test_masked_lm_trains_on_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "SHARD_TOKENS", 20_000)
+    docs = frame(spark, ["a b c d e f " * 2000 for _ in range(4)] + ["z"])
+    model = masked_lm.train(docs)
+    # within the repeated run every word follows from its neighbours
+    n, x = model.score(["a b c d e f " * 100])[0]
+    assert x / n > -0.5
+
+
 def test_components(spark):
     rng = np.random.Generator(np.random.PCG64(8))
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
