@@ -1,8 +1,7 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table turns a unit vector by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and hashes it
-to the nearest signed axis; past CELL_ROWS vectors a cell, a second rotation divides the cells further. A query probes the
-cells of its largest axes in every table. Vectors and probes meet by cell; each cell, in blocks of at most CELL_ROWS
+to the nearest signed axis. A query probes the cells of its largest axes in every table, the same ones at every input size. Vectors and probes meet by cell; each cell, in blocks of at most CELL_ROWS
 vectors, gives every probe its own nearest by exact cosine in double precision, so that what is shuffled grows with
 probes and not with pairs. The nearest of all cells are merged a query.
 
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from asofkit.llm.common import lean
 
-#: Tables, cells probed in each (of the first rotation, and of the second for each of those), and vectors that a cell may hold.
-TABLES, PROBES, PROBES_SECOND, CELL_ROWS = 10, 12, 24, 20_000
+#: Tables, cells probed in each, and vectors that a block of a cell may hold.
+TABLES, PROBES, CELL_ROWS = 10, 12, 20_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,8 +66,6 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     width = min(widths, key=lambda w: (-widths[w], w))
     rows = rows.where(F.size("v") == width)
-    axes = 2 << max(1, (width - 1).bit_length())
-    deep = widths[width] > CELL_ROWS * axes
 
     def place(batches):
         for b in batches:
@@ -83,12 +80,9 @@ def search(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_
                 for want, who in ((False, np.arange(len(ids))), (True, np.flatnonzero(asks))):
                     if not len(who):
                         continue
-                    first = cells(x[who], 2 * t, probes if want else 1)
-                    if deep:
-                        second = cells(x[who], 2 * t + 1, PROBES_SECOND if want else 1)
-                        first = (first[:, :, None] * axes + second[:, None, :]).reshape(len(who), -1)
-                    at = np.repeat(who, first.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(first.ravel().astype(np.int64)), pa.array(ids[at]), blobs.take(pa.array(at)), pa.array(np.full(len(at), want))], ["t", "cell", "id", "v", "probe"])
+                    found = cells(x[who], 2 * t, probes if want else 1)
+                    at = np.repeat(who, found.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(found.ravel().astype(np.int64)), pa.array(ids[at]), blobs.take(pa.array(at)), pa.array(np.full(len(at), want))], ["t", "cell", "id", "v", "probe"])
 
     placed = rows.mapInArrow(lean(place), "t int, cell long, id long, v binary, probe boolean")
     # a cell with many vectors is dealt over blocks; its probes go to each of them

@@ -193,6 +193,16 @@ def test_neighbours_are_mostly_exact(spark):
     assert ann.search(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>, rank int"), F.pmod("vec_id", F.lit(50)) == 0).count() == 2
 
 
+def test_neighbours_do_not_depend_on_input_size(spark, monkeypatch):
+    x = np.random.Generator(np.random.PCG64(5)).normal(size=(2000, 64))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    find = lambda: sorted(ann.search(rows, F.pmod("vec_id", F.lit(50)) == 0).collect())
+    whole = find()
+    # 2,000 vectors are then as far past CELL_ROWS a cell as 2.56 million are past 20,000
+    monkeypatch.setattr(ann, "CELL_ROWS", 15)
+    assert find() == whole and len(whole) == 200
+
+
 def test_url_rules(spark):
     urls = ["http://A.net/x", "http://x.example.net/en/1", "http://example.com/de/1?q#f", "https://b.org/fr/", "http://c.net", None, "no scheme", "http://other.com/en/", "http://a.net/x", "http://net/", "http://notnet/"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(0, "http://A.net/x", "z")], "page_id long, url string, verdict string")
