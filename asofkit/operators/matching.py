@@ -25,3 +25,21 @@ def nearest_match(left: DataFrame, right: DataFrame, on: list[str], key: list[st
     """Left join that keeps, for each key, the right row of least distances."""
     w = Window.partitionBy(*key).orderBy(*[d.asc_nulls_last() for d in distances])
     return left.join(right, on, "left").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def count_below(left: DataFrame, key: str, value: str, right: DataFrame, other: str, name: str, parts: int = 64) -> DataFrame:
+    """How many right rows lie strictly below each left key's value, summed over the rows of a key; 0 for a null value.
+
+    Both sides shrink to counts a distinct value, which are dealt over ranges of about equal numbers of values; each range
+    starts from the rows of those before it. So no pair is made, and nothing is sorted in one task.
+    """
+    counts = right.where(F.col(other).isNotNull()).groupBy(F.col(other).alias("_v")).agg(F.count("*").alias("_n"))
+    asked = left.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.lit(0).cast("long").alias("_n"))
+    values = counts.union(asked.distinct()).groupBy("_v").agg(F.sum("_n").alias("_n"))
+    edges = values.agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)])).first()[0] or []
+    # the range is the number of edges below or at the value
+    ranged = values.withColumn("_r", F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e <= F.col("_v"))) if edges else F.lit(0))
+    first = ranged.groupBy("_r").agg(F.sum("_n").alias("_t")).withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
+    before = Window.partitionBy("_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    below = ranged.withColumn("_w", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(F.broadcast(first), "_r").select("_v", (F.col("_b") + F.col("_w")).alias("_c"))
+    return left.join(below, left[value] == F.col("_v"), "left").groupBy(key).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias(name))

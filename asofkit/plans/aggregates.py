@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from asofkit.functions.expressions import seconds
-from asofkit.operators import audit, ranking
+from asofkit.operators import audit, matching, ranking
 from asofkit.operators.ledger import exact_sum
 from asofkit.plans.asof import events, orders
 from asofkit.plans.registry import query, read
@@ -102,6 +102,12 @@ def theta_left_join(spark, d):
     return s.join(c, c.c_acctbal < s.s_acctbal, "left").groupBy("s_suppkey").agg(F.count("c_custkey").alias("poorer"))
 
 
+@query("SELECT s_suppkey, count(c_custkey) AS poorer FROM supplier LEFT JOIN customer ON c_acctbal < s_acctbal GROUP BY ALL")
+def theta_left_join_whole(spark, d):
+    """The same over all suppliers and customers, by running counts instead of pairs."""
+    return matching.count_below(read(spark, d, "supplier"), "s_suppkey", "s_acctbal", read(spark, d, "customer").where(F.col("c_custkey").isNotNull()), "c_acctbal", "poorer")
+
+
 @query("SELECT o_orderkey FROM orders WHERE ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 15))::BIGINT % 7 = 0")
 def hash_sample(spark, d):
     return read(spark, d, "orders").where(ranking.hash_pick(F.col("o_orderkey"), 7)).select("o_orderkey")

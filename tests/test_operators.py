@@ -182,3 +182,23 @@ def test_reconcile(spark):
     parts = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 1.0), (4, 1.0)], "k int, v double")
     whole = spark.createDataFrame([(1, 5.0), (2, 9.0), (3, 1.0)], "k int, t double")
     assert tuple(audit.reconcile(parts, whole, ["k"], "v", "t", 1e-9).first()) == (1, 1, 1)
+
+
+def test_count_below_takes_whole_tables(spark):
+    left = spark.createDataFrame([(i, float(i % 50)) for i in range(300)] + [(900, None), (901, -5.0), (7, 3.0)], "k long, v double")
+    right = spark.createDataFrame([(float(i % 40),) for i in range(1000)] + [(3.0,)] * 500 + [(None,)], "w double")
+    got = {r.k: r.n for r in matching.count_below(left, "k", "v", right, "w", "n", parts=7).collect()}
+    values = [float(i % 40) for i in range(1000)] + [3.0] * 500
+    want = {}
+    for k, v in [(i, float(i % 50)) for i in range(300)] + [(900, None), (901, -5.0), (7, 3.0)]:
+        want[k] = want.get(k, 0) + (sum(w < v for w in values) if v is not None else 0)
+    assert got == want
+    assert [r.n for r in matching.count_below(left.limit(1), "k", "v", right.limit(0), "w", "n").collect()] == [0]
+
+
+def test_theta_left_join_has_every_supplier(spark):
+    import asofkit.plans as plans
+
+    sf = "/root/testdata/sf0.01"
+    got = plans.QUERIES["theta_left_join_whole"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").distinct().count() > 20
