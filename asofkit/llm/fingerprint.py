@@ -5,7 +5,8 @@ alone, so the sketch of a union is the union of the sketches, and the share of t
 estimates containment even between very unequal documents.
 
 Nulls and edge cases: a null text is empty; a text of fewer words than a shingle is one shingle, one without words has
-an empty sketch; where either sketch is empty the likeness is 1 for equal texts and else 0. Documents are ordered by
+an empty sketch; where either sketch holds fewer than LEAST_KEPT hashes the likeness is taken over all shingles of both
+texts, so short texts are compared exactly; where either text has no words it is 1 for equal texts and else 0. Documents are ordered by
 doc_id descending, null last, rows that repeat a doc_id by text; a single document is followed by itself.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle; one hash in SCALE is kept.
 SHINGLE, SCALE = 5, 8
+#: Kept hashes from which a sketch stands for its text in a likeness.
+LEAST_KEPT = 16
 #: Ranges of doc_id that the order is cut into, by approximate quantiles: one for so many rows, and at most so many.
 RANGE_ROWS, RANGES = 2000, 4096
 
@@ -32,8 +35,8 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     grams = lambda h: F.when(F.size(h) == 0, F.array().cast("array<long>")).when(
         F.size(h) < shingle, F.array(F.xxhash64(h))
     ).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - shingle, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(shingle)])))
-    limit = -(2**63) + 2**64 // scale
-    return F.array_sort(F.array_distinct(F.filter(_let(hashes, grams), lambda x: x < limit)))
+    most = -(2**63) + 2**64 // scale - 1
+    return F.array_sort(F.array_distinct(F.filter(_let(hashes, grams), lambda x: x <= most)))
 
 
 def to_string(kept: Column) -> Column:
@@ -52,6 +55,15 @@ def containment(a: Column, b: Column, equal: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / F.greatest(least, F.lit(1)).cast("double")).otherwise(equal.cast("double"))
 
 
+def likeness(a: Column, b: Column, text: Column, other: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Containment by the sketches a and b of two texts, or by all their shingles where either sketch is small."""
+    if scale == 1:
+        return containment(a, b, text == other)
+    small = F.least(F.size(a), F.size(b)) < LEAST_KEPT
+    exact = _let(sketch(text, shingle, 1), lambda x: _let(sketch(other, shingle, 1), lambda y: containment(x, y, text == other)))
+    return F.when(small, exact).otherwise(containment(a, b, text == other))
+
+
 def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text) with a range of doc_id, and the document that follows the last of each range.
 
@@ -97,6 +109,6 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, scale: int = SCAL
         F.sha2("edited", 256).alias("edited_sha256"),
         to_string(F.col("f")).alias("fingerprint"),
         to_string(F.col("ef")).alias("edited_fingerprint"),
-        containment(F.col("f"), F.col("ef"), F.col("text") == F.col("edited")).alias("near_edited"),
-        containment(F.col("f"), F.col("nf"), F.col("text") == F.col("nt")).alias("near_next"),
+        likeness(F.col("f"), F.col("ef"), F.col("text"), F.col("edited"), shingle, scale).alias("near_edited"),
+        likeness(F.col("f"), F.col("nf"), F.col("text"), F.col("nt"), shingle, scale).alias("near_next"),
     )

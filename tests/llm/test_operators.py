@@ -169,6 +169,14 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(frame(spark, []).limit(0)).count() == 0
 
 
+def test_short_texts_have_a_likeness(spark):
+    texts = [" ".join(prose(50 + k // 2, 9) + [f"end{k % 2}"]) for k in range(40)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, texts)).collect()}
+    for k in range(1, 40, 2):  # 5 of 6 shingles are those of the document that follows
+        assert abs(got[k].near_next - 5 / 6) < 1e-9, (k, got[k].near_next)
+    assert 0 in {got[k].near_next for k in range(0, 40, 2)}
+
+
 def test_sketch_of_union_is_union_of_sketches(spark):
     a, b = " ".join(prose(1, 400)), " ".join(prose(2, 50))
     r = spark.sql("select 1").select(fingerprint.merge(fingerprint.sketch(F.lit(a)), fingerprint.sketch(F.lit(b))).alias("u"), fingerprint.sketch(F.lit(a)).alias("a")).first()
