@@ -24,10 +24,10 @@ from asofkit.llm.common import lean
 
 #: Letters only, so that digits, marks and junk say nothing.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest piece in characters, with the mark that starts a word; longer words are scored in stretches of LONGEST_WORD.
+#: Longest piece in characters, with the mark that starts a word; longer words are learned and scored in stretches of LONGEST_WORD.
 LONGEST, LONGEST_WORD = 8, 48
-#: Sample for the fit: at most about so many texts a language, none longer than so many characters, so many distinct words.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WORDS = 1500, 20_000, 20_000
+#: Sample for the fit: at most about so many texts a language, of any length, and so many distinct words.
+SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 20_000
 ROUNDS = 4
 MARK = "▁"
 _BASE = np.uint64(0x100000001B3)
@@ -146,13 +146,13 @@ def train(labelled: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_
     if not sizes:
         return pieces, [], np.zeros((len(pieces) + 1, 0))
     rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample_texts / r["count"]))) for r in sizes])
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20)) & (F.length("text") <= SAMPLE_CHARS))
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
 
     def words(batches):
         for b in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(w[:LONGEST_WORD] for w in LETTERS.findall(text.lower()))
+                found.setdefault(lang, Counter()).update(w[i : i + LONGEST_WORD] for w in LETTERS.findall(text.lower()) for i in range(0, len(w), LONGEST_WORD))
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 

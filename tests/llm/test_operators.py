@@ -244,6 +244,15 @@ def test_language_and_toxicity_hold_out(spark):
     assert toxicity.train(docs.limit(0), labels.select("doc_id", F.col("toxic").alias("label")).limit(0)).score("x") == (0.0, [])
 
 
+def test_language_of_long_texts_is_learned(spark):
+    long, short = " ".join(["zug", "weg", "tag", "berg"] * 2000), "rue eau feu lieu"
+    run = "k" * language_id.LONGEST_WORD + "zyx" * 8
+    rows = [(i, long, "de") for i in range(3)] + [(10 + i, short, "fr") for i in range(3)] + [(20 + i, run, "xx") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), unigram_vocabulary())
+    asked = frame(spark, ["zug tag weg", "eau feu", "zyxzyxzyx"])
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(asked, model).collect()} == {0: "de", 1: "fr", 2: "xx"}
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "▁", "▁a"]
     prob = np.array([[0.2], [0.1], [0.3], [0.15], [0.25], [1e-7]])
