@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, Window
@@ -17,9 +17,30 @@ def prepare(df: DataFrame, columns: list[str], label: str, stride: int = 1) -> D
     return df.withColumns({c: F.col(c).cast("double") for c in columns}).withColumn("weight", F.when(F.col(label) == 1, 1.0).otherwise(float(stride)))
 
 
-def fit(df: DataFrame, columns: list[str], label: str, kind: str = "logistic") -> PipelineModel:
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The most frequent value of each column as text, ties to the smaller; empty text where all are null."""
+    out = {}
+    for c in columns:
+        top = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").first()
+        out[c] = top["v"] if top else ""
+    return out
+
+
+def _categorical(df: DataFrame, categories: list[str]) -> list:
+    """Stages that fill nulls by the mode and give one column a value; a value not seen in fitting has all of them 0."""
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    filled = ", ".join(f"coalesce(cast(`{c}` as string), {text(v)}) as `{c}_filled`" for c, v in modes(df, categories).items())
+    index = StringIndexer(inputCols=[f"{c}_filled" for c in categories], outputCols=[f"{c}_index" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc")
+    # "keep" gives the unseen an index of their own, the last, which the encoder drops
+    hot = OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_hot" for c in categories], dropLast=True)
+    return [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"), index, hot]
+
+
+def fit(df: DataFrame, columns: list[str], label: str, kind: str = "logistic", categories: list[str] | None = None) -> PipelineModel:
     inputs = [*[f"{c}_filled" for c in columns], *[f"{c}_missing" for c in columns]]
-    stages = [Imputer(strategy="median", inputCols=columns, outputCols=[f"{c}_filled" for c in columns]), VectorAssembler(inputCols=inputs, outputCol="raw")]
+    if categories:
+        inputs += [f"{c}_hot" for c in categories]
+    stages = [*(_categorical(df, categories) if categories else []), Imputer(strategy="median", inputCols=columns, outputCols=[f"{c}_filled" for c in columns]), VectorAssembler(inputCols=inputs, outputCol="raw")]
     if kind == "logistic":
         stages += [StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", regParam=0.01)]
     else:

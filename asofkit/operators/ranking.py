@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,35 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
+def first_component_share(df: DataFrame, columns: list[str]) -> float:
+    """Share of the variance of the columns' average ranks that their first principal component has.
+
+    Each column is ranked and standardised over its own values and a null stands at the mean; columns of one value are left
+    out, and with fewer than two others the share is 1.
+    """
+    rows = df.select(*columns)
+    for c in columns:
+        ranks = average_rank(rows.where(F.col(c).isNotNull()).select(c), c, f"_r{c}").distinct()
+        rows = rows.join(ranks, c, "left")
+    n = len(columns)
+    found = rows.agg(*[F.avg(f"_r{c}") for c in columns], *[F.stddev_pop(f"_r{c}") for c in columns]).first()
+    mean, spread = dict(zip(columns, found[:n], strict=True)), dict(zip(columns, found[n:], strict=True))
+    kept = [c for c in columns if spread[c]]
+    if len(kept) < 2:
+        return 1.0
+    z = {c: F.coalesce((F.col(f"_r{c}") - mean[c]) / spread[c], F.lit(0.0)) for c in kept}
+    pairs = [(i, j) for i in range(len(kept)) for j in range(i)]
+    m = np.eye(len(kept))
+    for (i, j), r in zip(pairs, rows.agg(*[F.corr(z[kept[i]], z[kept[j]]) for i, j in pairs]).first(), strict=True):
+        m[i, j] = m[j, i] = r
+    return float(np.linalg.eigvalsh(m)[-1] / len(kept))
+
+
+def list_jaccard(a: Column, b: Column) -> Column:
+    """Shared over all distinct members of two lists; null if either is null, 0 if both are empty."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)) + F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(0.0)
+
+
 def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(score), F.asc(tie)).limit(k)
 

@@ -202,3 +202,30 @@ def test_theta_left_join_has_every_supplier(spark):
     sf = "/root/testdata/sf0.01"
     got = plans.QUERIES["theta_left_join_whole"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").distinct().count() > 20
+
+
+def test_categories_are_filled_and_unknown_ones_are_zero(spark):
+    from asofkit.operators import learning
+
+    rows = [(float(k % 7), "it's" if k % 3 else "b", int(k % 3 > 0)) for k in range(60)] + [(1.0, None, 1)]
+    df = learning.prepare(spark.createDataFrame(rows, "x double, c string, y int"), ["x"], "y")
+    model = learning.fit(df, ["x"], "y", categories=["c"])
+    asked = learning.prepare(spark.createDataFrame([(1.0, "it's", 1), (1.0, "b", 0), (1.0, None, 1), (1.0, "new", 0)], "x double, c string, y int"), ["x"], "y")
+    got = [(r.c, r.c_hot.toArray().tolist(), r.score) for r in learning.predict(model, asked).collect()]
+    assert [h for _, h, _ in got] == [[0.0, 1.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]
+    assert got[0][2] > 0.5 > got[1][2]
+
+
+def test_first_component_and_list_overlap(spark):
+    df = spark.createDataFrame([(float(k), float(k**3), float(-k)) for k in range(20)], "a double, b double, c double")
+    assert ranking.first_component_share(df, ["a", "b", "c"]) == pytest.approx(1.0)
+    free = spark.createDataFrame([(float(i), float(j)) for i in range(4) for j in range(4)], "a double, b double")
+    assert ranking.first_component_share(free, ["a", "b"]) == pytest.approx(0.5)
+    # b's null stands at the mean: ranks standardised over their own values, then correlated over all four rows
+    gaps = spark.createDataFrame([(1.0, 1.0, 5.0), (2.0, 2.0, 5.0), (3.0, 3.0, 5.0), (4.0, None, 5.0)], "a double, b double, c double")
+    za, zb = [-1.5, -0.5, 0.5, 1.5], [-1.0, 0.0, 1.0, 0.0]
+    r = sum(x * y for x, y in zip(za, zb, strict=True)) / (sum(x * x for x in za) * sum(y * y for y in zb)) ** 0.5
+    assert ranking.first_component_share(gaps, ["a", "b", "c"]) == pytest.approx((1 + r) / 2)
+    assert ranking.first_component_share(gaps, ["a", "c"]) == 1.0
+    lists = spark.createDataFrame([(["a", "b", "b"], ["b", "c"]), ([], []), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in lists.select(ranking.list_jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0, None]
