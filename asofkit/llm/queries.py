@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from asofkit.llm import ann, bpe, fingerprint, language_id, masked_lm, ngram_jaccard, packing, substring_dedup, toxicity, url_rules
 from asofkit.llm.common import small_batches, table
 from asofkit.llm.language_id import held_out
@@ -68,11 +67,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-
 def _lean(f):
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +78,7 @@ def _lean(f):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _lean(f)
-    for f in (op1_language_id, op2_ngram_jaccard, op3_fingerprints, op4_toxicity, op5_masked_lm, op6_url_rules, op7_cross_polytope, op8_best_two_fit, op9_byte_bpe, op10_substring_dedup, pipeline)
+    for f in (op1_language_id, op2_ngram_jaccard, op3_fingerprints, op4_toxicity, op5_masked_lm, op6_url_rules, op7_cross_polytope, op8_best_two_fit, op9_byte_bpe, op10_substring_dedup)
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
