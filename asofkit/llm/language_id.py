@@ -3,7 +3,7 @@
 A language is a probability for each piece of the vocabulary. A word's probability is the sum over all its segmentations
 into pieces, by the forward algorithm; a text's is the product over its words. The piece probabilities are fitted by
 expectation-maximisation over the same segmentations, on word counts of a bounded sample of labelled texts. Characters
-outside the vocabulary have one small probability each.
+outside the vocabulary have one small probability each. Words are taken whole, whatever their length.
 
 Nulls and edge cases: a text that is null or has no letter is `und` with score 0; ties between languages go to the
 smaller name; with no training text all is `und`; rows are judged one by one, so repeated rows agree. Only the text is
@@ -24,8 +24,8 @@ from asofkit.llm.common import lean
 
 #: Letters only, so that digits, marks and junk say nothing.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest piece in characters, with the mark that starts a word; longer words are learned and scored in stretches of LONGEST_WORD.
-LONGEST, LONGEST_WORD = 8, 48
+#: Letters from which a word's sums are held with a logarithm beside them, so that they can't run out of range.
+LONG_WORD = 24
 #: Sample for the fit: at most about so many texts a language, of any length, and so many distinct words.
 SAMPLE_TEXTS, SAMPLE_WORDS = 1500, 20_000
 ROUNDS = 4
@@ -34,12 +34,12 @@ _BASE = np.uint64(0x100000001B3)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces of letters of a public sentencepiece vocabulary, at most LONGEST characters each."""
+    """Pieces of letters of a public sentencepiece vocabulary."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST and LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
+    return sorted(p for p in pieces if p and LETTERS.fullmatch(p.removeprefix(MARK) or "a"))
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -48,7 +48,9 @@ def _codes(words: list[str]) -> np.ndarray:
 
 
 class Pieces:
-    """Vocabulary as sorted hashes; looks up all stretches of many words at once."""
+    """Vocabulary as sorted hashes behind a bitmap; looks up all stretches of many words at once."""
+
+    BITS = 22
 
     def __init__(self, pieces: list[str]):
         h = np.empty(len(pieces), np.uint64)
@@ -56,24 +58,39 @@ class Pieces:
         for i, p in enumerate(pieces):
             by.setdefault(len(p), []).append(i)
         for rows in by.values():
-            h[rows] = self._hash(_codes([pieces[i] for i in rows]))
+            code = np.zeros(len(rows), np.uint64)
+            for column in _codes([pieces[i] for i in rows]).T:
+                code = self._step(code, column)
+            h[rows] = code
         self.order = np.argsort(h)
-        self.hashes, self.n = h[self.order], len(pieces)
+        self.hashes, self.n, self.longest = h[self.order], len(pieces), max(by, default=0)
+        self.bitmap = np.zeros(1 << self.BITS, bool)
+        self.bitmap[self._bit(h)] = True
 
     @staticmethod
-    def _hash(codes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(codes), np.uint64)
-        for j in range(codes.shape[1]):
-            out = (out ^ (codes[:, j] * np.uint64(0x9E3779B97F4A7C15))) * _BASE + (out >> np.uint64(29))
-        return out
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """Index of each row's piece, or n (the unknown)."""
-        if not self.n:
-            return np.zeros(len(codes), np.int64)
-        h = self._hash(codes)
-        at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-        return np.where(self.hashes[at] == h, self.order[at], self.n)
+    def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return (h ^ (code * np.uint64(0x9E3779B97F4A7C15))) * _BASE + (h >> np.uint64(29))
+
+    def _bit(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def spans(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces) of every stretch that is a piece in some of the rows, by end and then start."""
+        n, size = codes.shape
+        h, out = np.zeros((n, size), np.uint64), []
+        for length in range(1, min(self.longest, size) + 1):
+            h = self._step(h[:, : size - length + 1], codes[:, length - 1 :])
+            rows, starts = np.nonzero(self.bitmap[self._bit(h)])
+            found = h[rows, starts]
+            at = np.minimum(np.searchsorted(self.hashes, found), self.n - 1)
+            same = self.hashes[at] == found
+            rows, starts, at = rows[same], starts[same], self.order[at[same]]
+            by = np.argsort(starts, kind="stable")
+            rows, starts, at = rows[by], starts[by], at[by]
+            where = np.flatnonzero(np.diff(starts, prepend=-1))
+            for a, b in zip(where, [*where[1:], len(starts)], strict=False):
+                out.append((int(starts[a]), int(starts[a]) + length, rows[a:b], at[a:b]))
+        return sorted(out, key=lambda x: (x[1], x[0]))
 
 
 def grouped(words: list[str]):
@@ -87,21 +104,34 @@ def grouped(words: list[str]):
             yield part, _codes([MARK + words[i] for i in part])
 
 
+def forward(spans: list, size: int, n: int, prob: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, logs): sums[j] * exp(logs[j]) is the probability of each word's first j characters over all their segmentations.
+
+    spans as Pieces.spans gives them; prob: a row a piece; unknown: what a character by itself has in each row (n or 1 rows).
+    """
+    alpha, logs, at = np.zeros((size + 1, n, prob.shape[1])), np.zeros((size + 1, n, prob.shape[1])), 0
+    alpha[0] = 1
+    long = size > LONG_WORD
+    for j in range(1, size + 1):
+        while at < len(spans) and spans[at][1] == j:
+            k, _, rows, piece = spans[at]
+            more = alpha[k, rows] * prob[piece]
+            alpha[j, rows] += more * np.exp(logs[k, rows] - logs[j - 1, rows]) if long else more
+            at += 1
+        alpha[j] += alpha[j - 1] * unknown[j - 1]
+        if long:
+            logs[j] = logs[j - 1] + np.log(alpha[j])
+            alpha[j] = 1
+    return alpha, logs
+
+
 def word_logs(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Log-probability of each word (at most LONGEST_WORD letters) for each language; prob: pieces + 1 rows, the last for an unknown character."""
+    """Log-probability of each word for each language; prob: pieces + 1 rows, the last for an unknown character."""
     out = np.zeros((len(words), prob.shape[1]))
     for rows, codes in grouped(words):
-        n, length = codes.shape
-        alpha = np.zeros((length + 1, n, prob.shape[1]))
-        alpha[0] = 1
-        for j in range(1, length + 1):
-            for k in range(max(0, j - LONGEST), j):
-                at = pieces.find(codes[:, k:j])
-                hit = np.flatnonzero(at < pieces.n)
-                if len(hit):
-                    alpha[j, hit] += alpha[k, hit] * prob[at[hit]]
-            alpha[j] += alpha[j - 1] * prob[pieces.n]
-        out[rows] = np.log(alpha[length])
+        n, size = codes.shape
+        alpha, logs = forward(pieces.spans(codes), size, n, prob, np.broadcast_to(prob[-1], (size, 1, prob.shape[1])))
+        out[rows] = np.log(alpha[size]) + logs[size]
     return out
 
 
@@ -113,24 +143,28 @@ def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUN
     for c, name in enumerate(names):
         words = list(counts[name])
         weight = np.array([counts[name][w] for w in words], float)
+        groups = []
+        for rows, codes in grouped(words):
+            n, size = codes.shape
+            spans = table.spans(codes)
+            lone = np.ones((size, n, 1))  # 1 where a character is no piece
+            for k, j, at, _ in spans:
+                if j == k + 1:
+                    lone[k, at] = 0
+            back = sorted(((size - j, size - k, at, piece) for k, j, at, piece in spans), key=lambda x: (x[1], x[0]))
+            groups.append((weight[rows], n, size, spans, back, lone))
         p = np.where(length == 1, 1.0, 0.5**length)
         p /= p.sum()
         p[-1] = 1e-7
         for _ in range(rounds):
             got = np.zeros(table.n + 1)
-            for rows, codes in grouped(words):
-                n, size = codes.shape
-                spans = [(k, j, table.find(codes[:, k:j])) for j in range(1, size + 1) for k in range(max(0, j - LONGEST), j)]
-                value = lambda k, j, at: np.where(at < table.n, p[at], p[-1] if j == k + 1 else 0.0)  # noqa: B023, E731
-                alpha, beta = np.zeros((size + 1, n)), np.zeros((size + 1, n))
-                alpha[0], beta[size] = 1, 1
-                for k, j, at in spans:
-                    alpha[j] += alpha[k] * value(k, j, at)
-                for k, j, at in reversed(spans):
-                    beta[k] += beta[j] * value(k, j, at)
-                scale = weight[rows] / np.maximum(alpha[size], 1e-300)
-                for k, j, at in spans:
-                    got += np.bincount(at, alpha[k] * value(k, j, at) * beta[j] * scale, table.n + 1)
+            for w, n, size, spans, back, lone in groups:
+                alpha, la = forward(spans, size, n, p[:, None], lone * p[-1])
+                beta, lb = forward(back, size, n, p[:, None], lone[::-1] * p[-1])
+                alpha, la, beta, lb = alpha[:, :, 0], la[:, :, 0], beta[::-1, :, 0], lb[::-1, :, 0]
+                for k, j, rows, piece in spans:
+                    share = alpha[k, rows] * p[piece] * beta[j, rows] / alpha[size, rows] * np.exp(la[k, rows] + lb[j, rows] - la[size, rows])
+                    got[:-1] += np.bincount(piece, share * w[rows], table.n)
             p = got + 0.01
             p /= p.sum()
             p[-1] = 1e-7
@@ -152,7 +186,7 @@ def train(labelled: DataFrame, vocabulary_path: str, sample_texts: int = SAMPLE_
         for b in batches:
             found: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(w[i : i + LONGEST_WORD] for w in LETTERS.findall(text.lower()) for i in range(0, len(w), LONGEST_WORD))
+                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
             flat = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -184,10 +218,6 @@ def identify(documents: DataFrame, model: tuple[list[str], list[str], np.ndarray
                         n = bag.pop(w)
                         if w := "".join(filter(str.isalpha, w)):
                             bag[w] += n
-                    for w in [w for w in bag if len(w) > LONGEST_WORD]:
-                        n = bag.pop(w)
-                        for i in range(0, len(w), LONGEST_WORD):
-                            bag[w[i : i + LONGEST_WORD]] += n
                     bags.append(([index.setdefault(w, len(index)) for w in bag], list(bag.values())))
                 lang, score = [], []
                 logs = word_logs(list(index), table, prob) if names else None

@@ -246,7 +246,7 @@ def test_language_and_toxicity_hold_out(spark):
 
 def test_language_of_long_texts_is_learned(spark):
     long, short = " ".join(["zug", "weg", "tag", "berg"] * 2000), "rue eau feu lieu"
-    run = "k" * language_id.LONGEST_WORD + "zyx" * 8
+    run = "k" * 48 + "zyx" * 8
     rows = [(i, long, "de") for i in range(3)] + [(10 + i, short, "fr") for i in range(3)] + [(20 + i, run, "xx") for i in range(3)]
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), unigram_vocabulary())
     asked = frame(spark, ["zug tag weg", "eau feu", "zyxzyxzyx"])
@@ -261,6 +261,54 @@ def test_forward_sums_all_segmentations():
     assert got == pytest.approx(by_hand, rel=1e-4)
 
 
+def every_segmentation(word, pieces, prob):
+    """Sum over all segmentations by exact fractions, a character by itself also as an unknown one."""
+    from fractions import Fraction
+
+    text, sums = language_id.MARK + word, [Fraction(1)]
+    for j in range(1, len(text) + 1):
+        sums.append(sum((sums[k] * Fraction(prob[pieces.index(text[k:j])]) for k in range(j) if text[k:j] in pieces), sums[j - 1] * Fraction(prob[-1])))
+    return sums[-1]
+
+
+def test_forward_over_long_words():
+    from fractions import Fraction
+
+    pieces, rng = ["a", "b", "ab", "ba", "abab", "aabbaabbaabb", "▁", "▁a"], np.random.Generator(np.random.PCG64(6))
+    prob = np.concatenate([rng.random(8) / 50, [1e-7]])
+    for n in (1, 5, 24, 25, 49, 200, 900):
+        for letters in ("ab", "abx", "x"):
+            word = "".join(rng.choice(list(letters), n))
+            want = every_segmentation(word, pieces, prob.tolist())
+            log = float(np.log(float(want * Fraction(10) ** (8 * n)))) - 8 * n * np.log(10) if n < 36 else None
+            got = language_id.word_logs([word], language_id.Pieces(pieces), np.stack([prob, prob], 1))[0]
+            if log is None:
+                log = (want.numerator.bit_length() - want.denominator.bit_length()) * np.log(2)
+                assert abs(got[0] - log) < 1.5
+            else:
+                assert got[0] == pytest.approx(log, rel=1e-9)
+            assert np.isfinite(got).all() and got[0] == got[1]
+
+
+def test_fit_counts_long_and_short_words_alike():
+    pieces = ["a", "b", "ab", "▁"]
+    names, once = language_id.fit({"x": {"ab" * 10: 3}}, pieces)
+    _, twice = language_id.fit({"x": {"ab" * 60: 3}}, pieces)
+    assert names == ["x"] and np.isfinite(twice).all() and twice[2, 0] > twice[0, 0] and once[2, 0] > once[0, 0]
+
+
+def test_language_scores_are_finite(spark):
+    rows = [(0, "zug weg tag", "de"), (1, "rue eau feu", "fr"), (2, "rue eau feu", "fr"), (3, "abc", None), (4, None, "de")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), unigram_vocabulary())
+    texts = ["ᏣᎳᎩ" * 16, "x" * 3000, "é" * 500, "zug", "zug", "１２", "zug rue zug rue"]
+    got = {r.doc_id: r for r in language_id.identify(frame(spark, texts), model).collect()}
+    assert all(0 <= got[i].score <= 1 for i in range(len(texts))) and got[3].lang_pred == "de" and got[3].score == got[4].score
+    assert (got[5].lang_pred, got[5].score) == ("und", 0.0)
+    # languages learned from the same texts tie: the smaller name is taken
+    both = language_id.train(spark.createDataFrame([(0, "zug weg", "b"), (1, "zug weg", "a")], "doc_id long, text string, lang string"), unigram_vocabulary())
+    assert language_id.identify(frame(spark, ["zug"]), both).first().lang_pred == "a"
+
+
 def test_block_max_index_is_exact():
     rng = np.random.Generator(np.random.PCG64(2))
     vectors = []
