@@ -128,22 +128,60 @@ def test_packing_ids_and_places(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(bpe_json())
-    exact.encode_special_tokens = True
     path, pattern = bpe_json(), split_pattern()
-    docs = frame(spark, edge_texts())
-    cut = packing.pieces(docs, lambda: packing.Encoder(path, pattern), 512)
-    got = packing.pack(cut, docs.count(), 512).toPandas()
-    for i, t in enumerate(edge_texts()):
-        if isinstance(t, tuple) or i == 5:
-            continue
-        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 0]
-        mine = got[got.doc_id == i].sort_values("piece")
-        assert mine.length.sum() == len(ids) and (mine.length <= 512).all()
-        for p in mine.itertuples():
-            assert zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
-    for _, s in got.groupby("sequence_id"):
-        s = s.sort_values("offset")
-        assert (s.offset.to_numpy() == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all() and s.length.sum() <= 512
+    texts = [*edge_texts(), "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|", " ".join(prose(7, 700)), " ".join(prose(8, 700))]
+    docs = frame(spark, texts)
+    want = sorted((i if not isinstance(t, tuple) else t[0], tuple([*exact.encode((t[1] if isinstance(t, tuple) else t) or "", add_special_tokens=False).ids, 0])) for i, t in enumerate(texts) if not isinstance(t, tuple) or t[0] is not None)
+    cut = packing.pieces(docs, lambda: packing.Encoder(path, pattern), 512).cache()
+    for shard_docs in (10**6, 4):
+        got = packing.pack(cut, docs.count(), 512, shard_docs).toPandas()
+        assert len(got) == cut.count() and got.doc_id.isna().sum() == 2
+        # each document is there as often as it comes, with all its ids; pieces of rows that repeat a doc_id differ by length
+        assert got[got.piece == 0].doc_id.dropna().astype(int).tolist().count(5) == 2
+        for i, ids in want:
+            if i == 5:
+                continue
+            mine = got[got.doc_id == i].sort_values("piece")
+            assert mine.length.sum() == len(ids) and (mine.length <= 512).all() and (mine.length.iloc[1:] == 512).all()
+            for p in mine.itertuples():
+                assert zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) == p.ids_crc32
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert (s.offset.to_numpy() == np.concatenate([[0], np.cumsum(s.length)[:-1]])).all() and s.length.sum() <= 512
+    assert packing.pack(packing.pieces(docs.limit(0), lambda: packing.Encoder(path, pattern)), 0).count() == 0
+
+
+def packed_by_force(lengths, limit):
+    """Lengths of each bin's items by the rule itself, over plain lists."""
+    left, bins = list(lengths), []
+    while left:
+        mine = [max(left)]
+        left.remove(mine[0])
+        while True:
+            while fits := [x for x in left if x <= limit - sum(mine)]:
+                mine.append(max(fits))
+                left.remove(max(fits))
+            gap, small = limit - sum(mine), min(mine)
+            pairs = [(x + y, max(x, y), min(x, y)) for i, x in enumerate(left) for y in left[i + 1 :] if small < x + y <= gap + small]
+            if not gap or not pairs:
+                break
+            _, x, y = max(pairs)
+            mine.remove(small)
+            left.remove(x)
+            left.remove(y)
+            mine += [x, y]
+            left.append(small)
+        bins.append(sorted(mine))
+    return sorted(bins)
+
+
+def test_best_two_fit_follows_the_rule():
+    for seed in range(40):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        lengths = rng.integers(1, [8, 25, 60][seed % 3], int(rng.integers(0, 40)))
+        limit = [12, 40, 60][seed % 3]
+        where, _ = packing.best_two_fit(lengths, limit)
+        assert sorted(sorted(lengths[where == b].tolist()) for b in range(where.max() + 1 if len(where) else 0)) == packed_by_force(lengths.tolist(), limit)
 
 
 def test_best_two_fit_is_tight():
