@@ -1,7 +1,7 @@
 """Strict as-of joins: the latest state before a moment, equality excluded.
 
-Both sides are unioned, dealt by key and sorted by time once; the last state seen is carried along. A moment sorts before
-states of its own time, so such a state never reaches it. One shuffle, no range join, memory of one row a key.
+Both sides are unioned, dealt by key and sorted by time once; the last state of a range frame that ends before the moment is
+taken, so a state of its own time never reaches it. One shuffle, no range join.
 """
 
 from __future__ import annotations
@@ -19,21 +19,18 @@ def asof_join(probes: DataFrame, states: DataFrame, on: list[str], probe_time: s
 
 
 def asof_horizons(probes: DataFrame, states: DataFrame, on: list[str], probe_time: str, state_time: str, values: list[str], horizons: dict[str, int]) -> DataFrame:
-    """One pass of as-of joins at several lags: columns <prefix><value> for each prefix -> lag."""
+    """One pass of as-of joins at several lags: columns <prefix><value> for each prefix -> lag.
+
+    Every horizon is a frame over the same partitions and order, so all of them share one shuffle and one sort. Times are whole
+    numbers. Probes with a null key match nothing and are dealt by a hash of the row, so they don't meet in one task.
+    """
     carried = F.struct(F.col(state_time).alias("_at"), *values)
-    state = states.where(F.expr(" and ".join(f"`{k}` is not null" for k in on))).select(*on, F.col(state_time).cast("long").alias("_t"), F.lit(1).alias("_side"), carried.alias("_s"), F.lit(None).cast("string").alias("_h"))
-    rows = probes.withColumn("_id", F.monotonically_increasing_id()) if len(horizons) > 1 else probes
-    whole = F.struct(*rows.columns)
-    names = list(horizons)
-    lags = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(horizons[n]).cast("long").alias("lag")) for n in names]))
-    probe = rows.select(*on, F.col(probe_time).cast("long").alias("_p"), whole.alias("_row"), lags.alias("_l"))
-    probe = probe.select(*on, (F.col("_p") - F.col("_l.lag")).alias("_t"), F.lit(0).alias("_side"), F.col("_l.n").alias("_h"), "_row")
-    both = probe.unionByName(state, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where("_side = 0")
-    fields = ["_at", *values]
+    lost = F.expr(" or ".join(f"`{k}` is null" for k in on))
+    deal = F.when(lost, F.xxhash64(F.struct(*probes.columns))).otherwise(F.lit(0).cast("long"))
+    state = states.where(~lost & F.col(state_time).isNotNull()).select(*on, F.lit(0).cast("long").alias("_deal"), F.col(state_time).cast("long").alias("_t"), carried.alias("_s"))
+    probe = probes.select(*on, deal.alias("_deal"), F.col(probe_time).cast("long").alias("_t"), F.struct(*probes.columns).alias("_row"))
+    part = Window.partitionBy(*on, "_deal").orderBy("_t")
+    seen = probe.unionByName(state, allowMissingColumns=True)
+    seen = seen.withColumns({f"_{i}": F.last("_s", ignorenulls=True).over(part.rangeBetween(Window.unboundedPreceding, -lag - 1)) for i, lag in enumerate(horizons.values())}).where("_row is not null")
     label = lambda n, f: f"{n}{state_time if f == '_at' else f}"
-    if len(names) == 1:
-        return seen.select("_row.*", *[F.col(f"_last.{f}").alias(label(names[0], f)) for f in fields])
-    grouped = seen.groupBy("_row").agg(*[F.max(F.when(F.col("_h") == n, F.col("_last"))).alias(f"_{i}") for i, n in enumerate(names)])
-    return grouped.select("_row.*", *[F.col(f"_{i}.{f}").alias(label(n, f)) for i, n in enumerate(names) for f in fields]).drop("_id")
+    return seen.select("_row.*", *[F.col(f"_{i}.{f}").alias(label(n, f)) for i, n in enumerate(horizons) for f in ["_at", *values]])

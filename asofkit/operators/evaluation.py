@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.operators.ranking import bin_by, quantile_edges, running_totals
+
 
 def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(score, n, pos, tp, fp, total, positives) with tp, fp over scores >= this one; rows are distinct scores."""
     groups = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = groups.agg(F.sum("n").alias("total"), F.sum("pos").alias("positives"))
-    return groups.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum(F.col("n") - F.col("pos")).over(w)}).crossJoin(F.broadcast(totals))
+    return running_totals(groups, "score", {"tp": F.col("pos"), "fp": F.col("n") - F.col("pos")}, descending=True).crossJoin(F.broadcast(totals))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -46,8 +47,6 @@ def best_threshold(df: DataFrame, label: str, score: str, floors: list[float]) -
 
 def calibration(df: DataFrame, label: str, score: str, bins: int) -> DataFrame:
     """Mean score and label rate of right-closed quantile bins, equal edges merged."""
-    from asofkit.operators.ranking import bin_by, quantile_edges
-
     edges = quantile_edges(df, score, bins)
     return df.withColumn("bin", bin_by(F.col(score), edges)).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(label).alias("rate"))
 

@@ -7,9 +7,11 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asofkit.operators.ranking import running_totals
+
 
 def prepare(df: DataFrame, columns: list[str], label: str, stride: int = 1) -> DataFrame:
     """Doubles, flags of what is missing, and weights that undo a negative sampling of one in stride."""
@@ -53,11 +55,13 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def permuted(df: DataFrame, column: str, key: str, salt: str) -> DataFrame:
-    """df with the column dealt anew in the order of a salted hash of the key, the same each time."""
-    order = Window.orderBy(F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256), key)
-    values = df.select(F.row_number().over(order).alias("_n"), F.col(column).alias("_v"))
-    rows = df.drop(column).withColumn("_n", F.row_number().over(Window.orderBy(key)))
-    return rows.join(values, "_n").withColumnRenamed("_v", column).drop("_n")
+    """df with the column dealt anew: rows in the order of one salted hash of the key take the values in the order of another.
+
+    The same each time; both orders are numbered range by range (running_totals). The key is unique.
+    """
+    number = lambda rows, word: running_totals(rows.withColumn("_h", F.xxhash64(F.lit(salt + word), F.col(key))), "_h", {"_n": F.lit(1)}, [key]).drop("_h")
+    values = number(df.select(key, F.col(column).alias("_v")), "values").select("_n", "_v")
+    return number(df.drop(column), "rows").join(values, "_n").withColumnRenamed("_v", column).drop("_n")
 
 
 def gain_importance(model: PipelineModel, columns: list[str], prefix: str = "") -> list[tuple[str, float]]:

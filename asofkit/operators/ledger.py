@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asofkit.operators.ranking import in_ranges
+
 
 def exact_sum(text: Column, precision: int = 18, scale: int = 9) -> Column:
     """Sum of decimal strings, the same in any order; what does not parse is skipped."""
@@ -30,10 +32,18 @@ def route_fee(reported: Column, amount: Column, rate: float) -> tuple[Column, Co
 
 
 def drawdown(outcomes: DataFrame, order: list[str], pnl: str) -> DataFrame:
-    """Equity, its peak (at least 0) and the fall from it, in order."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = outcomes.withColumn("equity", F.sum(pnl).over(w))
-    return out.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(w))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Equity, its peak (at least 0) and the fall from it, in order; the first column of the order is a number.
+
+    Ranges of that column are totalled apart; each starts from the equity and the peak of those before it.
+    """
+    ranged = in_ranges(outcomes, order[0], "_r")
+    w = Window.partitionBy("_r").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_e", F.sum(pnl).over(w)).withColumn("_m", F.max("_e").over(w))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ends = local.groupBy("_r").agg(F.sum(pnl).alias("_s"), F.max("_m").alias("_top")).withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
+    ends = ends.withColumn("_was", F.greatest(F.lit(0.0), F.max(F.col("_base") + F.col("_top")).over(before))).select("_r", "_base", "_was")
+    out = local.join(F.broadcast(ends), "_r").withColumn("equity", F.col("_base") + F.col("_e")).withColumn("peak", F.greatest("_was", F.col("_base") + F.col("_m")))
+    return out.withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_r", "_e", "_m", "_base", "_was")
 
 
 def outcome_pnl(gross_roi: Column, forced: Column, stake: float, cost: float, slippage: float = 0.0) -> Column:

@@ -7,24 +7,18 @@ from pyspark.sql import functions as F
 
 
 def first_match(left: DataFrame, events: DataFrame, on: list[str], condition: Column, order: list[Column], values: list[str], prefix: str, how: str = "left") -> DataFrame:
-    """Each left row (unique) with the least event by order among those of its key that meet the condition."""
-    tagged = left.withColumn("_id", F.struct(*left.columns))
-    joined = tagged.join(events, on, "inner").where(condition)
-    best = joined.groupBy("_id").agg(F.min(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *values)).alias("_b"))
-    best = best.select(*[F.col(f"_id.{c}").alias(c) for c in left.columns], *[F.col(f"_b.{v}").alias(prefix + v) for v in values])
-    if how == "inner":
-        return best
-    mine = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in left.columns]
-    cond = mine[0]
-    for c in mine[1:]:
-        cond = cond & c
-    return left.alias("l").join(best.alias("r"), cond, "left").select("l.*", *[F.col(f"r.{prefix}{v}").alias(prefix + v) for v in values])
+    """Each left row (unique) with the least event by order among those of its key that meet the condition: one join, one aggregate."""
+    first = F.min(F.when(condition, F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *values))).alias("_b")
+    best = left.withColumn("_id", F.struct(*left.columns)).join(events, on, how).groupBy("_id").agg(first)
+    best = best.where("_b is not null") if how == "inner" else best
+    return best.select("_id.*", *[F.col(f"_b.{v}").alias(prefix + v) for v in values])
 
 
 def nearest_match(left: DataFrame, right: DataFrame, on: list[str], key: list[str], distances: list[Column]) -> DataFrame:
-    """Left join that keeps, for each key, the right row of least distances."""
-    w = Window.partitionBy(*key).orderBy(*[d.asc_nulls_last() for d in distances])
-    return left.join(right, on, "left").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Left join that keeps, for each key, the right row of least distances, null last."""
+    both = left.join(right, on, "left")
+    least = F.struct(*[c for i, d in enumerate(distances) for c in (d.isNull().alias(f"n{i}"), d.alias(f"d{i}"))])
+    return both.groupBy(*key).agg(F.min_by(F.struct(*both.columns), least).alias("_b")).select("_b.*")
 
 
 def count_below(left: DataFrame, key: str, value: str, right: DataFrame, other: str, name: str, parts: int = 64) -> DataFrame:

@@ -12,11 +12,34 @@ def hash_pick(key: Column, modulus: int, take: int = 0) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 15), 16, 10).cast("long"), F.lit(modulus)) == take
 
 
+def in_ranges(df: DataFrame, by: str, name: str, parts: int = 64) -> DataFrame:
+    """df with the index of the range of about equal numbers of rows that a numeric column lies in; nulls and NaN have range -1."""
+    plain = F.col(by).isNotNull() & ~F.isnan(F.col(by).cast("double"))
+    edges = df.where(plain).agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e <= F.col(by))) if edges else F.lit(0)
+    return df.withColumn(name, F.when(plain, below).otherwise(-1))
+
+
+def running_totals(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str] | None = None, descending: bool = False, parts: int = 64) -> DataFrame:
+    """Sums over all rows up to and with this one in the order of a numeric column, then of tie; nulls come first, or last if descending.
+
+    Ranges are totalled apart and each starts from the sum of those before it, of which there are at most parts + 1, so that no
+    task orders all rows.
+    """
+    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    ranged = in_ranges(df, by, "_r", parts)
+    w = Window.partitionBy("_r").orderBy(way(by), *(tie or [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_r").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = totals.select("_r", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_t_{n}") for n in sums])
+    out = ranged.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}).join(F.broadcast(totals), "_r")
+    return out.withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in sums}).drop("_r", *[f"_t_{n}" for n in sums])
+
+
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Rank from 1, ties sharing their mean rank. Ranks are built from counts per value, with one row a value in the final window."""
+    """Rank from 1 of a numeric column, ties sharing their mean rank: running totals of the counts per value."""
     counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(column, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2).alias(name))
+    ranks = running_totals(counts, column, {"_u": F.col("_c")}).select(column, (F.col("_u") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(ranks, column)
 
 
@@ -85,6 +108,13 @@ def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
 
 def top_share_per_bucket(df: DataFrame, bucket: str, score: str, tie: str, rate: float) -> DataFrame:
     """The best max(1, half-even round of rate * n) rows of each bucket."""
-    w = Window.partitionBy(bucket)
-    ranked = df.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(F.desc(score), F.asc(tie)))})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * rate))).drop("_n", "_r")
+    sizes = df.groupBy(bucket).agg(F.greatest(F.lit(1), F.bround(F.count("*") * rate)).alias("_n"))
+    order = Window.partitionBy(bucket).orderBy(F.desc(score), F.asc(tie))
+    # within a bucket, ranges of the score are counted first: only the range that holds the last place is ranked row by row
+    ranged = in_ranges(df, score, "_p")
+    held = ranged.groupBy(bucket, "_p").agg(F.count("*").alias("_c"))
+    above = F.coalesce(F.sum("_c").over(Window.partitionBy(bucket).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumn("_a", above).join(sizes, bucket).where("_a < _n").select(bucket, "_p", "_n", "_a", (F.col("_a") + F.col("_c") <= F.col("_n")).alias("_w"))
+    near = ranged.join(held, [bucket, "_p"])
+    edge = near.where("not _w").withColumn("_r", F.row_number().over(order)).where("_r + _a <= _n")
+    return near.where("_w").select(*df.columns).unionByName(edge.select(*df.columns))

@@ -119,11 +119,10 @@ def first_match_entry(spark, d):
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, {_O} AS t FROM orders), i AS (SELECT l_orderkey, l_linenumber, {_S} AS ship, l_extendedprice, l_quantity, l_partkey FROM lineitem), p(delay) AS (VALUES (0), (10), (20)),
-en AS (SELECT o_orderkey, t, delay, ship AS e_ship, l_linenumber AS e_line, l_extendedprice AS e_price FROM o CROSS JOIN p JOIN i ON l_orderkey = o_orderkey AND (CASE WHEN delay = 0 THEN ship > t ELSE ship >= t + delay * {DAY} END)
- QUALIFY row_number() OVER (PARTITION BY o_orderkey, delay ORDER BY ship, l_linenumber, l_extendedprice, l_quantity, l_partkey) = 1),
-ex AS (SELECT o_orderkey, delay, l_extendedprice AS x_price FROM en JOIN i ON l_orderkey = o_orderkey AND (ship > e_ship OR (ship = e_ship AND l_linenumber > e_line))
- QUALIFY row_number() OVER (PARTITION BY o_orderkey, delay ORDER BY ship, l_linenumber, l_extendedprice, l_quantity, l_partkey) = 1)
-SELECT o_orderkey, delay, e_price, x_price, round(coalesce(x_price / e_price - 1, -1), 9) AS roi, CASE WHEN x_price IS NULL THEN 1 ELSE 0 END AS forced FROM en LEFT JOIN ex USING (o_orderkey, delay)""")
+en AS (SELECT o_orderkey, delay, min({{s: ship, l: l_linenumber, p: l_extendedprice, q: l_quantity, k: l_partkey}}) AS e FROM o CROSS JOIN p JOIN i ON l_orderkey = o_orderkey WHERE CASE WHEN delay = 0 THEN ship > t ELSE ship >= t + delay * {DAY} END GROUP BY ALL),
+ex AS (SELECT o_orderkey, delay, min({{s: ship, l: l_linenumber, p: l_extendedprice, q: l_quantity, k: l_partkey}}) AS x FROM en JOIN i ON l_orderkey = o_orderkey WHERE ship > e.s OR (ship = e.s AND l_linenumber > e.l) GROUP BY ALL),
+en2 AS (SELECT o_orderkey, delay, e.p AS e_price, x.p AS x_price FROM en LEFT JOIN ex USING (o_orderkey, delay))
+SELECT o_orderkey, delay, e_price, x_price, round(coalesce(x_price / e_price - 1, -1), 9) AS roi, CASE WHEN x_price IS NULL THEN 1 ELSE 0 END AS forced FROM en2""")
 def delay_policy_outcomes(spark, d):
     """Entries under three delays and the next item after each; no exit is a total loss."""
     return outcomes(spark, d)

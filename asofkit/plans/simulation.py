@@ -31,8 +31,8 @@ def slippage_grid(spark, d):
 @query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, sum(round((o_totalprice - 150000) * 100)::BIGINT)::BIGINT AS c FROM orders GROUP BY ALL),
 e AS (SELECT day, (sum(c) OVER (ORDER BY day))::BIGINT AS equity FROM m), p AS (SELECT *, greatest(0, max(equity) OVER (ORDER BY day)) AS peak FROM e) SELECT day, equity, peak::DOUBLE AS peak, (peak - equity)::DOUBLE AS drawdown FROM p""")
 def equity_drawdown(spark, d):
-    m = read(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.sum(F.round((F.col("o_totalprice") - 150000) * 100).cast("long")).alias("c"))
-    return ledger.drawdown(m, ["day"], "c").select("day", "equity", "peak", "drawdown")
+    m = read(spark, d, "orders").groupBy(F.unix_date(F.to_date("o_orderdate")).alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.sum(F.round((F.col("o_totalprice") - 150000) * 100).cast("long")).alias("c"))
+    return ledger.drawdown(m, ["n"], "c").select("day", "equity", "peak", "drawdown")
 
 
 @query("""WITH t AS (SELECT l_orderkey, max(l_tax) AS tax, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY ALL)

@@ -200,7 +200,7 @@ def test_theta_left_join_has_every_supplier(spark):
     import asofkit.plans as plans
 
     sf = "/root/testdata/sf0.01"
-    got = plans.QUERIES["theta_left_join_whole"](spark, sf)
+    got = plans.QUERIES["theta_left_join"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").distinct().count() > 20
 
 
