@@ -15,7 +15,7 @@ def seconds(ts: Column) -> Column:
 
 
 def normalized(text: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(text)), r"\s+", " ")
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
 def word_count(text: Column) -> Column:
@@ -73,3 +73,29 @@ def joined_distinct(values: Column) -> Column:
 def after_position(slot: Column, index: Column, slot0: Column, index0: Column) -> Column:
     """Strictly later in the order (slot, index)."""
     return (slot > slot0) | ((slot == slot0) & (index > index0))
+
+
+def after_prefix(text: Column, prefix: str) -> Column:
+    """The whole number that follows a prefix and ends the text, else null."""
+    return F.nullif(F.regexp_extract(text, rf"^{prefix}(-?\d+)$", 1), F.lit("")).try_cast("int")
+
+
+def _share(text: Column, kind: str, of: str) -> Column:
+    count = lambda k: F.length(F.regexp_replace(text, rf"[^\p{{{k}}}]", ""))
+    return F.when(count(of) > 0, count(kind) / count(of)).otherwise(0.0)
+
+
+def text_profile(name: Column, symbol: Column, uri: Column, providers: dict[str, str]) -> list[Column]:
+    """Named columns about a name, a symbol and a link, none of them null; providers: part of a link -> class, the first that fits."""
+    low = F.lower(uri)
+    name_n, symbol_n = normalized(name), F.regexp_replace(F.lower(symbol), r"\s+", "")
+    provider = reduce(lambda c, p: c.when(F.contains(low, F.lit(p)), providers[p]), list(providers)[1:], F.when(F.contains(low, F.lit(next(iter(providers)))), providers[next(iter(providers))]))
+    size = lambda c: F.length(c).cast("long")
+    found = {
+        "name_normalized": name_n, "symbol_normalized": symbol_n, "name_length": size(name), "symbol_length": size(symbol), "uri_length": size(uri), "name_words": word_count(name).cast("long"),
+        "name_digits": digits(name).cast("long"), "symbol_digits": digits(symbol).cast("long"), "name_non_ascii": non_ascii(name).cast("long"), "symbol_non_ascii": non_ascii(symbol).cast("long"),
+        "name_upper": F.round(_share(name, "Lu", "L"), 9), "symbol_upper": F.round(_share(symbol, "Lu", "L"), 9), "same_name": F.replace(name_n, F.lit(" "), F.lit("")) == symbol_n,
+        "name_has_url": contains_any(name_n, ["http://", "https://", ".com"]), "has_dollar": contains_any(name, ["$"]) | contains_any(symbol, ["$"]), "name_special": non_ascii(name) > 0, "symbol_special": non_ascii(symbol) > 0,
+        "host": host(uri), "provider": provider.when(uri == "", "missing").otherwise("other"), "has_symbol": F.length(F.trim(symbol)) > 0,
+    }
+    return [c.alias(n) for n, c in found.items()]

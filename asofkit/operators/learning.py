@@ -93,3 +93,11 @@ def by_history(df: DataFrame, missing: str, known: PipelineModel, cold: Pipeline
     cold_row = F.coalesce(F.col(missing).cast("boolean"), F.lit(False))
     keep = [*df.columns, "score"]
     return predict(known, df.where(~cold_row)).select(*keep).unionByName(predict(cold, df.where(cold_row)).select(*keep))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -8,13 +8,37 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# fixed values: the outcomes of a replay
+OK = "ok"
+NONSTANDARD = "nonstandard_or_unverified_initial_curve"
+NO_EXIT = "no_exit_anchor"
+OTHER_PROGRAM = "pump_amm_migration_or_entry"
+OTHER_SIDE = "unsupported_trade_side"
+UNSEEN_CHANGE = "unobserved_reserve_state_transition"
+NO_ANCHOR = "anchor_not_found_in_curve_events"
+INVALID = "counterfactual_curve_completed_or_invalid"
+# fixed values: what a trader keeps when the market has moved, and the relative error of a price that is still taken as equal
+INTENTS = ("fixed_quote", "fixed_token")
+PRICE_ERROR = 1e-6
 
 
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
 
+def to_units(value: float, scale: int) -> int:
+    """Whole units, rounded half to even."""
+    return round(float(value) * scale)
+
+
+def units(value: Column, scale: int) -> Column:
+    """The same of a column."""
+    return F.bround(value * scale).cast("long")
+
+
 @dataclass(frozen=True)
 class Market:
     """Virtual and real reserves of the quote and of the token."""
@@ -24,19 +48,36 @@ class Market:
     real_quote: int
     real_token: int
 
-    def buy(self, quote_in: int) -> tuple[Market, int]:
-        """(state, tokens out) for quote paid in; what leaves the pool is rounded down."""
-        out = self.virtual_token - ceil_div(self.virtual_quote * self.virtual_token, self.virtual_quote + quote_in)
-        if quote_in <= 0 or out > self.real_token:
+    def price(self, quote_scale: int = 1, token_scale: int = 1) -> float:
+        """Quote for one token, both in whole coins of so many units."""
+        return self.virtual_quote / self.virtual_token * token_scale / quote_scale
+
+    def moved(self, quote: int, token: int) -> Market:
+        """The state after quote has come in and token has gone out, or the reverse if both are negative."""
+        if self.real_token < token or self.real_quote < -quote or quote * token <= 0:
+            raise ValueError("the market can't fill this")
+        return Market(self.virtual_quote + quote, self.virtual_token - token, self.real_quote + quote, self.real_token - token)
+
+    def buy(self, quote: int) -> tuple[Market, int]:
+        """(state, tokens out) for quote paid in; one unit of it is the market's."""
+        if quote <= 1:
+            raise ValueError("the market can't fill this")
+        out = (quote - 1) * self.virtual_token // (self.virtual_quote + quote - 1)
+        return self.moved(quote, out), out
+
+    def buy_tokens(self, token: int) -> tuple[Market, int]:
+        """(state, quote in) for tokens out."""
+        if not 0 < token < self.virtual_token:
             raise ValueError("the market can't fill this")
-        return Market(self.virtual_quote + quote_in, self.virtual_token - out, self.real_quote + quote_in, self.real_token - out), out
+        quote = ceil_div(token * self.virtual_quote, self.virtual_token - token) + 1
+        return self.moved(quote, token), quote
 
-    def sell(self, token_in: int) -> tuple[Market, int]:
+    def sell(self, token: int) -> tuple[Market, int]:
         """(state, quote out) for tokens paid in."""
-        out = self.virtual_quote - ceil_div(self.virtual_quote * self.virtual_token, self.virtual_token + token_in)
-        if token_in <= 0 or out > self.real_quote:
+        if token <= 0:
             raise ValueError("the market can't fill this")
-        return Market(self.virtual_quote - out, self.virtual_token + token_in, self.real_quote - out, self.real_token + token_in), out
+        out = token * self.virtual_quote // (self.virtual_token + token)
+        return self.moved(-out, -token), out
 
 
 def replay(trades: DataFrame, key: str, order: list[str], start: Market) -> DataFrame:
@@ -60,3 +101,108 @@ def cash_flow(net_in: float, gross_out: float, fee: float, rate: float) -> dict[
     """Entry with the rate on top, exit with it taken off, and the profit after the fixed fee."""
     entry, exit_ = net_in * (1 + rate), gross_out * (1 - rate)
     return {"entry": entry, "exit": exit_, "pnl": exit_ - entry - fee}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What is replayed: the market at its start, its program, units a coin, stake and fixed fee in coins."""
+
+    start: Market
+    program: str = "pump"
+    quote_scale: int = 10**9
+    token_scale: int = 10**6
+    stake: float = 1.0
+    fee: float = 0.0
+
+
+def starts_as_expected(first, rules: Rules) -> tuple[bool, float, float]:
+    """(whether a market's first trade fits the expected start, difference of the quote in coins, relative error of the price)."""
+    if first.side != "buy" or first.program != rules.program:
+        return False, float("nan"), float("nan")
+    try:
+        after, quote = rules.start.buy_tokens(to_units(first.tokens, rules.token_scale))
+    except ValueError:
+        return False, float("inf"), float("inf")
+    price = float(first.price)
+    error = abs(after.price(rules.quote_scale, rules.token_scale) - price) / price
+    return error <= PRICE_ERROR, abs(quote - to_units(first.quote, rules.quote_scale)) / rules.quote_scale, error
+
+
+def replay_position(trades: list, anchor, rules: Rules, intent: str, rate: float) -> dict:
+    """Put an own buy right after the entry trade and an own sale right after the exit trade; trades are in order.
+
+    Two markets run side by side: the observed one, held against recorded prices, and from the entry on the one with the
+    own tokens, in which others spend the same quote or take the same tokens, by intent.
+    """
+    fits, quote_error, price_error = starts_as_expected(trades[0], rules)
+    out = {"status": OK, "quote_error": quote_error, "price_error": price_error}
+    if not fits:
+        return {**out, "status": NONSTANDARD}
+    if anchor.exit_slot is None or pd.isna(anchor.exit_slot):
+        return {**out, "status": NO_EXIT}
+    if {anchor.entry_program, anchor.exit_program} != {rules.program}:
+        return {**out, "status": OTHER_PROGRAM}
+    entry, end = ((int(getattr(anchor, f"{w}_slot")), int(getattr(anchor, f"{w}_tx")), int(getattr(anchor, f"{w}_event"))) for w in ("entry", "exit"))
+    seen = own = rules.start
+    held, worst = None, 0.0
+    try:
+        for t in trades:
+            at = (int(t.slot), int(t.tx), int(t.event))
+            if at > end:
+                break
+            if t.program != rules.program or t.side not in ("buy", "sell"):
+                return {**out, "status": OTHER_PROGRAM if t.program != rules.program else OTHER_SIDE}
+            tokens = to_units(t.tokens, rules.token_scale)
+            seen, quote = seen.buy_tokens(tokens) if t.side == "buy" else seen.sell(tokens)
+            if t.price > 0:
+                worst = max(worst, abs(seen.price(rules.quote_scale, rules.token_scale) - t.price) / t.price)
+                if worst > PRICE_ERROR:
+                    return {**out, "status": UNSEEN_CHANGE, "worst_price_error": worst}
+            if held is None:
+                own = seen
+                if at == entry:
+                    own, held = own.buy(to_units(rules.stake, rules.quote_scale))
+                continue
+            if t.side == "sell":
+                own = own.sell(tokens)[0]
+            else:
+                own = own.buy(quote)[0] if intent == "fixed_quote" else own.buy_tokens(tokens)[0]
+            if at == end:
+                own, got = own.sell(held)
+                flow = cash_flow(rules.stake, got / rules.quote_scale, rules.fee, rate)
+                return {**out, **flow, "held": held / rules.token_scale, "roi": flow["pnl"] / rules.stake, "worst_price_error": worst}
+    except ValueError:
+        return {**out, "status": INVALID}
+    return {**out, "status": NO_ANCHOR}
+
+
+_FIELDS = ("quote_error", "price_error", "worst_price_error", "entry", "exit", "pnl", "held", "roi")
+
+
+def replay_positions(trades: DataFrame, anchors: DataFrame, rules: Rules, rates: list[float], intents: tuple[str, ...] = INTENTS) -> DataFrame:
+    """A row for each anchor, intent and fee rate: status, and the position's figures where it is ok.
+
+    trades: token, slot, tx, event, side, program, tokens, quote, price; anchors: token, policy, entry_slot, entry_tx, entry_event,
+    entry_program and the same of the exit. Both sides are dealt by token once; an anchor without trades has no market.
+    """
+
+    def run(key, group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        ordered = list(group.sort_values(["slot", "tx", "event"], kind="stable").itertuples(index=False))
+        rows = []
+        for a in asked.itertuples(index=False):
+            for intent in intents:
+                for rate in rates:
+                    got = replay_position(ordered, a, rules, intent, rate) if ordered else {"status": NONSTANDARD}
+                    rows.append([a.token, a.policy, intent, rate, got["status"], *[got.get(f) for f in _FIELDS]])
+        return pd.DataFrame(rows, columns=["token", "policy", "intent", "rate", "status", *_FIELDS])
+
+    kind = anchors.schema["token"].dataType.simpleString()
+    schema = f"token {kind}, policy string, intent string, rate double, status string, " + ", ".join(f"{f} double" for f in _FIELDS)
+    anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])  # columns of their own, where both sides come from one table
+    return trades.groupBy("token").cogroup(anchors.groupBy("token")).applyInPandas(run, schema)
+
+
+def coverage(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """For each group: replays, those that are ok, their share, and median return and total profit of those."""
+    ok = F.col("status") == OK
+    return outcomes.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.avg(ok.cast("int")).alias("coverage"), F.median(F.when(ok, F.col("roi"))).alias("median_roi"), F.sum(F.when(ok, F.col("pnl"))).alias("total"))

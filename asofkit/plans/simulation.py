@@ -70,4 +70,4 @@ def market_replay(spark, d):
     from asofkit.operators.replay import Market, replay
 
     t = read(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), (F.col("l_extendedprice") * 1000).cast("long").alias("amount"))
-    return replay(t, "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey", "amount"], Market(30_000_000_000, 1_073_000_000_000_000, 0, 793_100_000_000_000))
+    return replay(t, "l_orderkey", ["l_shipdate", "l_linenumber", "l_partkey", "amount"], Market(10**13, 10**15, 10**12, 8 * 10**14))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import time
 from collections.abc import Callable
 
@@ -102,6 +103,80 @@ def write_json(spark: SparkSession, document: dict, path: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    final = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs.delete(final, False)
-    fs.rename(part, final)
+    _put(spark, part, path)
+
+
+def _put(spark: SparkSession, part, path: str) -> None:
+    """Give a finished file its name over any old one, in one step of the file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    mode = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    mode[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), conf).rename(part, jvm.org.apache.hadoop.fs.Path(path), mode)
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """One JSON document, as write_json() writes it."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_csv(df: DataFrame, path: str, keys: list[str], single: bool = False) -> None:
+    """CSV with a header in key order; `single` is for reports of a few rows and makes one file."""
+    rows = df.coalesce(1).sortWithinPartitions(*keys) if single else df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def column_dictionary(df: DataFrame, notes: dict[str, str]) -> DataFrame:
+    """(position, column, type, note) of each column; a note for a column that isn't there is an error."""
+    if unknown := set(notes) - set(df.columns):
+        raise ValueError(f"no such column: {sorted(unknown)}")
+    rows = [(i, f.name, f.dataType.simpleString(), notes.get(f.name)) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, note string")
+
+
+def input_path(name: str, default: str, spark: SparkSession | None = None) -> str:
+    """Where an input lies: the session's conf asofkit.input.<name>, else the variable ASOFKIT_<NAME>, else the default."""
+    found = spark.conf.get(f"asofkit.input.{name}", None) if spark else None
+    return found or os.environ.get(f"ASOFKIT_{name.upper()}") or default
+
+
+def batched(df: DataFrame, path: str, rows: int = 20_000) -> None:
+    """Parquet whose row groups come from Arrow batches of at most so many rows, so that no task holds more."""
+
+    def cut(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                yield b.slice(at, rows)
+
+    df.mapInArrow(cut, df.schema).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rows, groups, writer, column, least, greatest, nulls) from the footers of the Parquet files under path.
+
+    Only the last bytes of a file are fetched, by a positioned read on the executor through the path's own file system where
+    that is local to it, else through Spark's file reader, which hands over the whole file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    local = path.startswith(("/", "file:"))
+    rows = files.select("path") if local else files.select("path", "content")
+
+    def read(batches):
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            out = []
+            for i, name in enumerate(b.column(0).to_pylist()):
+                source = name.removeprefix("file://").removeprefix("file:") if local else io.BytesIO(b.column(1)[i].as_py())
+                meta = pq.ParquetFile(source).metadata
+                for c in range(meta.num_columns):
+                    found = [meta.row_group(g).column(c) for g in range(meta.num_row_groups)]
+                    known = [x.statistics for x in found if x.statistics is not None]
+                    ends = [(x.min, x.max) for x in known if x.has_min_max]
+                    least, most = (str(min(e[0] for e in ends)), str(max(e[1] for e in ends))) if ends else (None, None)
+                    nulls = sum(x.null_count for x in known) if known and all(x.has_null_count for x in known) else None
+                    out.append((name, meta.num_rows, meta.num_row_groups, meta.created_by, meta.schema.column(c).path, least, most, nulls))
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+            names = ["file", "rows", "groups", "writer", "column", "least", "greatest", "nulls"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+
+    return rows.mapInArrow(read, "file string, rows long, groups int, writer string, column string, least string, greatest string, nulls long")

@@ -4,13 +4,14 @@ import gzip
 import json
 import struct
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 from asofkit.functions import binary
 from asofkit.functions import expressions as X
-from asofkit.operators import asof, audit, evaluation, history, ledger, lifecycle, matching, ranking, replay
+from asofkit.operators import asof, audit, evaluation, history, learning, ledger, lifecycle, matching, ranking, replay
 from asofkit.sources import tables
 
 
@@ -89,15 +90,136 @@ def test_ranking_metrics(spark):
     assert [r.pr for r in ranking.percent_rank_average(rows, "s", "pr").orderBy("s").collect()] == [0.3, 0.3, 0.7, 0.7, 1.0]
 
 
-def test_market_goes_back(spark):
-    start = replay.Market(30_000_000_000, 1_073_000_000_000_000, 0, 793_100_000_000_000)
-    after, out = start.buy(1_975_308_641)
-    back, got = after.sell(out)
-    assert got == 1_975_308_640 and back.virtual_quote - start.virtual_quote == 1
+def test_market_quotes_are_exact():
+    rng = np.random.Generator(np.random.PCG64(11))
+    for _ in range(300):
+        vq, vt = (int(x) for x in rng.integers(10**6, 10**12, 2))
+        m = replay.Market(vq, vt, vq // 3, vt // 2)
+        paid = int(rng.integers(2, 10**6))
+        out = (paid - 1) * vt // (vq + paid - 1)
+        if 0 < out <= vt // 2:
+            after, got = m.buy(paid)
+            assert got == out and after.real_token == m.real_token - out and after.virtual_quote * after.virtual_token >= vq * vt
+            same, quote = m.buy_tokens(out)
+            assert quote <= paid and same.virtual_token == after.virtual_token and m.buy(quote)[1] >= out - 1
+            back, quote_out = after.sell(out)
+            assert quote_out < paid and back.virtual_token == vt and quote_out == out * after.virtual_quote // (after.virtual_token + out)
+    for bad in (lambda m: m.buy(1), lambda m: m.buy(10**18), lambda m: m.buy_tokens(0), lambda m: m.buy_tokens(10**13), lambda m: m.sell(0), lambda m: m.sell(10**15)):
+        with pytest.raises(ValueError):
+            bad(replay.Market(10**9, 10**12, 0, 10**11))
+    assert replay.Market(2, 4, 0, 0).price() == 0.5 and replay.to_units(0.5, 1) == 0 and replay.to_units(1.5, 1) == 2
+    flow = replay.cash_flow(2.0, 3.0, 0.25, 0.5)
+    assert flow == {"entry": 3.0, "exit": 1.5, "pnl": -1.75}
+
+
+def _trades(start, steps, scale=1000):
+    """Trades in whole coins with the prices that they lead to."""
+    m, rows = start, []
+    for i, (side, tokens) in enumerate(steps):
+        m, quote = m.buy_tokens(tokens * scale) if side == "buy" else m.sell(tokens * scale)
+        rows.append(("k", 1, i, 0, side, "pump", float(tokens), quote / scale, m.price(scale, scale)))
+    return rows
+
+
+def test_positions_in_a_replayed_market(spark):
+    start = replay.Market(5_000_000, 40_000_000, 0, 30_000_000)
+    rules = replay.Rules(start, "pump", 1000, 1000, 300.0, 1.0)
+    steps = [("buy", 900), ("buy", 500), ("buy", 1200), ("sell", 400), ("buy", 700)]
+    good = _trades(start, steps)
+    anchor = ("k", "p", 1, 1, 0, "pump", 1, 4, 0, "pump")
+    names = "token string, policy string, entry_slot long, entry_tx long, entry_event long, entry_program string, exit_slot long, exit_tx long, exit_event long, exit_program string"
+
+    def run(rows, a=anchor, intents=replay.INTENTS):
+        t = spark.createDataFrame(rows, "token string, slot long, tx long, event long, side string, program string, tokens double, quote double, price double")
+        return {r.intent: r for r in replay.replay_positions(t, spark.createDataFrame([a], names), rules, [0.01], intents).collect()}
+
+    got = run(good)
+    for intent in replay.INTENTS:  # by hand: own buy after the second trade, own sale after the last
+        m = start.buy_tokens(900_000)[0].buy_tokens(500_000)[0]
+        seen, (m, held) = m, m.buy(300_000)
+        for side, n in steps[2:]:
+            was = seen
+            seen, quote = was.buy_tokens(n * 1000) if side == "buy" else was.sell(n * 1000)
+            m = m.sell(n * 1000)[0] if side == "sell" else m.buy(quote)[0] if intent == "fixed_quote" else m.buy_tokens(n * 1000)[0]
+        gross = m.sell(held)[1] / 1000
+        assert got[intent].status == "ok" and got[intent].held == held / 1000 and got[intent].pnl == pytest.approx(gross * 0.99 - 303 - 1)
+    assert got["fixed_token"].pnl != got["fixed_quote"].pnl
+    change = lambda i, **k: [tuple({**dict(zip(("token", "slot", "tx", "event", "side", "program", "tokens", "quote", "price"), r, strict=True)), **(k if j == i else {})}.values()) for j, r in enumerate(good)]
+    one = lambda *a: run(*a, intents=("fixed_token",))["fixed_token"].status
+    assert one(change(0, price=9.0)) == replay.NONSTANDARD and one(change(0, side="sell")) == replay.NONSTANDARD
+    assert one(good, (*anchor[:6], None, None, None, None)) == replay.NO_EXIT
+    assert one(good, (*anchor[:9], "other")) == replay.OTHER_PROGRAM and one(change(3, program="other")) == replay.OTHER_PROGRAM
+    assert one(change(2, side="burn")) == replay.OTHER_SIDE
+    assert one(change(2, price=9.0)) == replay.UNSEEN_CHANGE
+    assert one(good, (*anchor[:6], 1, 9, 0, "pump")) == replay.NO_ANCHOR
+    assert one(change(3, tokens=1e9, price=0.0)) == replay.INVALID
+
+
+def test_running_totals_need_no_single_task(spark):
+    rng = np.random.Generator(np.random.PCG64(12))
+    v = [None, float("nan"), *[float(x) for x in rng.integers(0, 50, 400)]]
+    df = spark.createDataFrame([(i, x, int(i % 7)) for i, x in enumerate(v)], "id long, v double, n long")
+    for down in (False, True):
+        got = {r.id: r.s for r in ranking.running_totals(df, "v", {"s": F.col("n")}, ["id"], down, 8).collect()}
+        plain = [i for i in range(len(v)) if i > 1]
+        order = sorted(plain, key=lambda i: (-v[i] if down else v[i], i))
+        low = sum(i % 7 for i in (0, 1)) if not down else 0
+        want, total = {}, low
+        for i in order:
+            total += i % 7
+            want[i] = total
+        assert {i: got[i] for i in plain} == want
+    moved = learning.permuted(df, "n", "id", "salt").toPandas()
+    assert sorted(moved.n) == sorted(i % 7 for i in range(len(v))) and (moved.set_index("id").n.sort_index().to_numpy() != np.arange(len(v)) % 7).any()
+    bucket = df.where("v > 0").withColumn("b", F.col("id") % 3)
+    top = ranking.top_share_per_bucket(bucket, "b", "v", "id", 0.2).toPandas()
+    for b, g in bucket.toPandas().groupby("b"):
+        want = g[g.v.notna()].sort_values(["v", "id"], ascending=[False, True])
+        assert set(top[top.b == b].id) >= set(want.id[: round(0.2 * len(want)) - 1])
+
+
+def test_probes_without_a_key_match_nothing(spark):
+    probes = spark.createDataFrame([(None, 5), ("a", 5), ("a", 5), ("a", None), ("b", 1)], "k string, t long")
+    states = spark.createDataFrame([(None, 1, 9), ("a", 3, 1), ("a", 5, 2), ("a", None, 7)], "k string, at long, v long")
+    got = sorted(((r.k or "", r.t or -1, r.x_v, r.y_v) for r in asof.asof_horizons(probes, states, ["k"], "t", "at", ["v"], {"x_": 0, "y_": 2}).collect()), key=str)
+    assert got == sorted([("", 5, None, None), ("a", 5, 1, None), ("a", 5, 1, None), ("a", -1, None, None), ("b", 1, None, None)], key=str)
+
+
+def test_sinks_footers_and_models(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, float(i) if i % 5 else None) for i in range(100)], "a long, b double")
+    tables.batched(df.coalesce(1), str(tmp_path / "t"), 30)
+    f = {r.column: r for r in tables.footers(spark, str(tmp_path / "t")).collect()}
+    assert (f["a"].rows, f["a"].least, f["a"].greatest, f["b"].nulls, f["b"].least) == (100, "0", "99", 20, "1.0")
+    for single in (True, False):
+        tables.write_csv(df, str(tmp_path / "c"), ["a"], single)
+        assert tables.csv(spark, str(tmp_path / "c"), "a long, b double").agg(F.sum("a"), F.count("b")).first() == (4950, 80)
+    for n in (1, 2):  # a second document takes the place of the first
+        tables.write_json(spark, {"n": n}, str(tmp_path / "x.json"))
+        assert tables.read_json(spark, str(tmp_path / "x.json")) == {"n": n}
+    assert [tuple(r) for r in tables.column_dictionary(df, {"b": "note"}).collect()] == [(0, "a", "bigint", None), (1, "b", "double", "note")]
     with pytest.raises(ValueError):
-        start.buy(10**15)
-    flow = [replay.cash_flow(1.975308641, 2.4, 0.09101, r) for r in (0.0095, 0.0125)]
-    assert flow[0]["pnl"] > flow[1]["pnl"] and flow[0]["pnl"] == pytest.approx(flow[0]["exit"] - flow[0]["entry"] - 0.09101)
+        tables.column_dictionary(df, {"z": ""})
+    assert tables.input_path("events", "/d", spark) == "/d"
+    monkeypatch.setenv("ASOFKIT_EVENTS", "/e")
+    assert tables.input_path("events", "/d", spark) == "/e"
+    rows = learning.prepare(df.withColumn("y", (F.col("a") > 50).cast("int")), ["b"], "y")
+    model = learning.fit(rows, ["b"], "y")
+    learning.save(model, str(tmp_path / "m"))
+    again = learning.predict(learning.load(str(tmp_path / "m")), rows)
+    assert [r.score for r in again.orderBy("a").collect()] == [r.score for r in learning.predict(model, rows).orderBy("a").collect()]
+
+
+def test_contracts_of_joins_and_gates(spark):
+    from asofkit.operators import augment, selection
+
+    left = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(Exception, match="duplicate"):
+        augment.augment(left, twice, ["k"], "v").collect()
+    with pytest.raises(ValueError):
+        augment.from_sources(left, ["k"], {}, {"x": True})
+    assert selection.feature_gate({"score": 0.5}, {"a": 0.4, "b": 0.495}, 0.01) == {"a": "KEEP", "b": "DROP"}
+    assert selection.available(left, {"g": ["k", "z"], "h": ["k"]}, ["g", "h"]) == ["k"]
 
 
 def test_binary_records(spark):
