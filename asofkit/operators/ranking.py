@@ -118,3 +118,20 @@ def top_share_per_bucket(df: DataFrame, bucket: str, score: str, tie: str, rate:
     near = ranged.join(held, [bucket, "_p"])
     edge = near.where("not _w").withColumn("_r", F.row_number().over(order)).where("_r + _a <= _n")
     return near.where("_w").select(*df.columns).unionByName(edge.select(*df.columns))
+
+
+def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, spearman) of every two columns, over the rows in which none is null: all correlations in one aggregate of the ranks."""
+    rows = df.select(*columns).dropna()
+    for c in columns:
+        rows = average_rank(rows, c, f"_r{c}")
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = rows.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"_r{a}", f"_r{b}").alias("spearman")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(pairs))])))
+
+
+def describe(df: DataFrame, column: str) -> DataFrame:
+    """(measure, value) of a numeric column: count, mean, sample deviation, ends and quartiles."""
+    q = F.percentile(column, [0.25, 0.5, 0.75])
+    one = df.agg(F.count(column).cast("double").alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("min"), q[0].alias("25%"), q[1].alias("50%"), q[2].alias("75%"), F.max(column).cast("double").alias("max"))
+    return one.unpivot([], one.columns, "measure", "value")

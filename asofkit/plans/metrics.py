@@ -73,3 +73,47 @@ def economic_label(spark, d):
     inside = (F.col("bt") > F.col("t")) & (F.col("bt") <= F.col("t") + 7 * DAY)
     got = v.join(b, "user_id", "left").groupBy("event_id", "t").agg(F.count_if(inside).alias("buys"), F.coalesce(F.sum(F.when(inside, F.col("c"))), F.lit(0)).alias("cents"))
     return got.crossJoin(F.broadcast(end)).select("event_id", "buys", "cents", (F.col("buys") > 0).cast("int").alias("label"), (F.col("last") < F.col("t") + 7 * DAY).alias("open"))
+
+
+@query("""WITH x AS (SELECT l_quantity AS q, round(l_extendedprice / 1000)::BIGINT AS p, l_discount AS c FROM lineitem), r AS (SELECT rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2.0 AS q, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS p, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS c FROM x WHERE q IS NOT NULL AND p IS NOT NULL AND c IS NOT NULL)
+SELECT 'q' AS a, 'p' AS b, round(corr(q, p), 7) AS spearman FROM r UNION ALL SELECT 'q', 'c', round(corr(q, c), 7) FROM r UNION ALL SELECT 'p', 'c', round(corr(p, c), 7) FROM r""")
+def spearman_matrix(spark, d):
+    from asofkit.operators.ranking import spearman_matrix
+
+    x = read(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.round(F.col("l_extendedprice") / 1000).cast("long").alias("p"), F.col("l_discount").alias("c"))
+    return spearman_matrix(x, ["q", "p", "c"]).withColumn("spearman", F.round("spearman", 7))
+
+
+@query("""WITH s AS (SELECT count(o_totalprice)::DOUBLE AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS sd, min(o_totalprice) AS lo, quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS q, max(o_totalprice) AS hi FROM orders)
+SELECT unnest(['count', 'mean', 'std', 'min', '25%', '50%', '75%', 'max']) AS measure, round(unnest([n, m, sd, lo, q[1], q[2], q[3], hi]), 4) AS value FROM s""")
+def describe_column(spark, d):
+    from asofkit.operators.ranking import describe
+
+    return describe(read(spark, d, "orders"), "o_totalprice").withColumn("value", F.round("value", 4))
+
+
+@query("SELECT column_name AS name, ordinal_position::INT AS position FROM information_schema.columns WHERE table_name = 'lineitem'")
+def table_columns(spark, d):
+    """The columns of a table, from its schema alone."""
+    names = read(spark, d, "lineitem").columns
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "name string, position int")
+
+
+_TWO = "s AS (SELECT epoch_us(o_orderdate) // 1000000 // 604800 AS week, round(o_totalprice / 5000)::BIGINT AS a, (o_custkey % 40)::BIGINT AS b, (o_orderpriority = '1-URGENT')::INT AS y FROM orders)"
+
+
+def _ap(x):
+    return f"""g{x} AS (SELECT week, {x} AS score, count(*) AS n, sum(y)::BIGINT AS pos FROM s GROUP BY ALL), c{x} AS (SELECT *, (sum(pos) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS taken, (sum(pos) OVER (PARTITION BY week))::BIGINT AS p FROM g{x} WINDOW w AS (PARTITION BY week ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+a{x} AS (SELECT week, sum(pos / greatest(p, 1) * tp / taken) AS ap FROM c{x} GROUP BY ALL)"""
+
+
+@query(f"WITH {_TWO}, {_ap('a')}, {_ap('b')} SELECT week, round(aa.ap, 9) AS first, round(ab.ap, 9) AS second, round(aa.ap - ab.ap, 9) AS delta FROM aa JOIN ab USING (week)")
+def weekly_precision_deltas(spark, d):
+    """Average precision of two scores by week, and by how much the first is ahead."""
+    from asofkit.functions.expressions import seconds
+    from asofkit.operators.regimes import average_precision_by
+
+    o = read(spark, d, "orders")
+    s = o.select(F.floor(seconds(F.col("o_orderdate")) / 604800).alias("week"), F.round(F.col("o_totalprice") / 5000).cast("long").alias("a"), (F.col("o_custkey") % 40).alias("b"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y"))
+    one = lambda x, n: average_precision_by(s, "week", "y", x).select("week", F.col("average_precision").alias(n))
+    return one("a", "first").join(one("b", "second"), "week").select("week", F.round("first", 9).alias("first"), F.round("second", 9).alias("second"), F.round(F.col("first") - F.col("second"), 9).alias("delta"))
