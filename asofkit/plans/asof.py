@@ -122,19 +122,25 @@ def entity_cooccurrence_history(spark, d):
     return x.join(one, ["l_partkey", "t"]).join(two, ["l_partkey", "l_suppkey", "t"]).select("l_orderkey", "l_partkey", "l_suppkey", "t", "part_uses", "pair_uses")
 
 
-@query()
+@query(f"WITH g AS (SELECT user_id, {_E} AS t, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, t, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM g")
 def stream_state(spark, d):
-    """Prior counts by user kept as stream state; run over the events as one available batch."""
-    import uuid
-
+    """Prior counts by user kept as stream state; run over the events as one available batch, into a table in the shared folder."""
+    from asofkit.sources.tables import shared_folder
     from asofkit.streaming.windows import running_state
 
-    batch = read(spark, d, "events")
-    name = f"state_{uuid.uuid4().hex}"
+    batch, folder = read(spark, d, "events"), shared_folder(spark, "stream")
     rows = spark.readStream.schema(batch.schema).parquet(d + "/events.parquet*").select("user_id", seconds(F.col("ts")).alias("sec"))
-    q = running_state(rows, "user_id", "sec").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = running_state(rows, "user_id", "sec").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, t long, prior long").parquet(f"{folder}/rows")
+
+
+@query(f"""WITH s AS (SELECT event_type, ({_E}) // 3600 * 3600 AS h FROM events), w AS (SELECT event_type, unnest([h - 7200, h - 3600, h]) AS start FROM s) SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""")
+def sliding_windows(spark, d):
+    """Counts over three hours, every hour."""
+    from asofkit.streaming.windows import sliding
+
+    return sliding(read(spark, d, "events"), "ts", "3 hours", "1 hour", ["event_type"]).withColumn("start", seconds(F.col("start")))
 
 
 @query(f"SELECT ({_E}) // 21600 * 21600 AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -64,12 +64,13 @@ def empirical_offset(spark, d):
     """A draw from an indexed pool by a hash of the key alone."""
     slot = F.pmod(F.conv(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 15), 16, 10).cast("long"), F.lit(25))
     o = read(spark, d, "orders").select("o_orderkey", slot.alias("slot"))
-    return o.join(F.broadcast(read(spark, d, "nation")), F.col("slot") == F.col("n_nationkey")).select("o_orderkey", "slot", F.col("n_name").alias("drawn"))
+    return o.join(read(spark, d, "nation"), F.col("slot") == F.col("n_nationkey")).select("o_orderkey", "slot", F.col("n_name").alias("drawn"))
 
 
-@query()
+@query("SELECT c_custkey, true AS same FROM customer")
 def base58_round_trip(spark, d):
+    """Whether 32 bytes come back from their base58 text."""
     from asofkit.functions.binary import base58_decode, base58_encode
 
     t = F.sha2(F.col("c_custkey").cast("string"), 256)
-    return read(spark, d, "customer").select("c_custkey", base58_encode(F.unhex(t)).alias("text")).withColumn("same", F.lower(F.hex(base58_decode("text"))) == t)
+    return read(spark, d, "customer").select("c_custkey", base58_encode(F.unhex(t)).alias("text")).select("c_custkey", (F.lower(F.hex(base58_decode("text"))) == t).alias("same"))

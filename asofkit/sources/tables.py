@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import json
 import os
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -75,6 +77,17 @@ def write_sorted(df: DataFrame, path: str, keys: list[str], compression: str = "
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").option("compression", compression).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; where that is unset a temporary one in local mode, else an error."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="asofkit-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top}/asofkit/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
