@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asofkit.plans import aggregates, asof, builders, evaluation, groups, lifecycles, messages, metrics, regimes, rows, simulation, text
+from asofkit.plans import aggregates, asof, builders, evaluation, groups, lifecycles, messages, metrics, regimes, rows, simulation, store, text
 from asofkit.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "aggregates", "asof", "builders", "evaluation", "groups", "lifecycles", "messages", "metrics", "regimes", "rows", "simulation", "text"]
+__all__ = ["ORACLE", "QUERIES", "aggregates", "asof", "builders", "evaluation", "groups", "lifecycles", "messages", "metrics", "regimes", "rows", "simulation", "store", "text"]
