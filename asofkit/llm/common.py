@@ -52,18 +52,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster it raises."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="asofkit-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write df to the shared folder, or another that all executors share, and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/asofkit/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/asofkit'}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -236,7 +238,8 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Smallest node of each node's component, as (node, root) for nodes that edges (a, b) touch.
 
     Alternating large-star and small-star steps; each step is an aggregate with map-side combine and a join that
-    adaptive execution can split, and is written to the shared folder.
+    adaptive execution can split, and is written to the shared folder. A round's table goes when the next one is written;
+    raises if the steps have not settled after so many rounds (they take about as many as the logarithm of the diameter).
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     was = None
@@ -248,9 +251,12 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         nxt = materialize(small.where("u <> v").distinct(), name)
+        drop_materialized(now)
         now_sum = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         now = nxt
         if now_sum == was:
             break
         was = now_sum
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

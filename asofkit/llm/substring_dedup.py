@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,25 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class WindowIndex:
-    """Sorted immutable runs of fingerprints; append() takes a batch and returns the fingerprints it repeats."""
+    """Sorted immutable runs of fingerprints; append() takes a batch and returns the fingerprints it repeats.
 
-    def __init__(self, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
-        self.window, self.gram, self.fanout = window, gram, fanout
+    With a folder, runs and the manifest that names them by level lie there and a later session goes on by WindowIndex.load();
+    the manifest is put in place last, so a job that dies leaves the index as it was. Without one, runs lie in the shared folder.
+    """
+
+    def __init__(self, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, folder: str | None = None):
+        self.window, self.gram, self.fanout, self.folder = window, gram, fanout, folder
         self.levels: list[list[DataFrame]] = [[]]
+        self.paths: list[list[str]] = [[]]
+
+    @classmethod
+    def load(cls, spark, folder: str) -> WindowIndex:
+        """The index in a folder as its last append left it."""
+        said = spark.read.schema("version long, window int, gram int, fanout int, levels array<array<string>>").json(f"{folder}/manifests").orderBy(F.desc("version")).first()
+        index = cls(said.window, said.gram, said.fanout, folder)
+        index.paths = [list(level) for level in said.levels]
+        index.levels = [[spark.read.schema("h long, first long, last long").parquet(p) for p in level] for level in index.paths]
+        return index
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -79,31 +94,51 @@ class WindowIndex:
     def _merged(rows: DataFrame) -> DataFrame:
         return rows.groupBy("h").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("h")
 
+    def _written(self, rows: DataFrame, level: int) -> DataFrame:
+        """A new run of a level; it counts from when _commit() names it."""
+        run = materialize(self._merged(rows), "run", self.folder)
+        self.levels[level].append(run)
+        self.paths[level].append(run.inputFiles()[0].rsplit("/", 1)[0] if run.inputFiles() else "")
+        return run
+
+    def _commit(self, spark, old: list[DataFrame]) -> None:
+        if self.folder:
+            version = time.time_ns()
+            one = spark.createDataFrame([(version, self.window, self.gram, self.fanout, [[p for p in level if p] for level in self.paths])], "version long, window int, gram int, fanout int, levels array<array<string>>")
+            one.coalesce(1).write.mode("append").json(f"{self.folder}/manifests")
+        for r in old:
+            drop_materialized(r)
+
     def append(self, batch: DataFrame) -> DataFrame:
-        """Index (doc_id, text) rows; returns (h) of fingerprints that now lie in two or more documents, one of them in the batch."""
+        """Index (doc_id, text) rows; returns (h) of fingerprints that now lie in two or more documents, one of them in the batch.
+
+        Reads the batch and the runs, and no document of an earlier batch.
+        """
         rows = fingerprints(batch.select("doc_id", "text"), self.window, self.gram).withColumns({"first": F.col("doc_id"), "last": F.col("doc_id")})
-        run = materialize(self._merged(rows), "run")
+        history = self.runs()
+        run = self._written(rows, 0)
         met = run.where("first <> last").select("h")
-        for old in self.runs():
+        for old in history:
             met = met.union(run.hint("merge").join(old.select("h", F.col("first").alias("f"), F.col("last").alias("l")), "h").where("first <> l or last <> f").select("h"))
         met = materialize(met.distinct(), "met")
-        self.levels[0].append(run)
-        self._compact()
+        self._commit(batch.sparkSession, self._compact())
         return met
 
-    def _compact(self) -> None:
-        at = 0
+    def _compact(self) -> list[DataFrame]:
+        """Merge full levels; returns the runs that are no longer needed."""
+        at, gone = 0, []
         while at < len(self.levels) and len(self.levels[at]) >= self.fanout:
-            runs, self.levels[at] = self.levels[at], []
+            runs, self.levels[at], self.paths[at] = self.levels[at], [], []
             both = runs[0]
             for r in runs[1:]:
                 both = both.union(r)
             if at + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[at + 1].append(materialize(self._merged(both), "run"))
-            for r in runs:
-                drop_materialized(r)
+                self.paths.append([])
+            self._written(both, at + 1)
+            gone += runs
             at += 1
+        return gone
 
 
 def repeated_windows(docs: DataFrame, met: list[DataFrame], window: int, gram: int) -> DataFrame:
@@ -125,7 +160,8 @@ def repeated_windows(docs: DataFrame, met: list[DataFrame], window: int, gram: i
 
     rows = docs.mapInArrow(lean(run), "w long, doc_id long, at int")
     first = rows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("w", "first")
-    return rows.join(first, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution can split those of a hot window
+    return rows.join(materialize(first, "first"), "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
 
 
 def remove_repeats(documents: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
