@@ -107,3 +107,27 @@ def permutation_importance(spark, d):
 def subgroup_metrics(spark, d):
     g = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("y"))
     return g.groupBy(F.when(F.col("n") <= 50, "few").when(F.col("n") <= 70, "some").otherwise("many").alias("history")).agg(F.count("*").alias("users"), F.sum("y").alias("buys"), F.round(F.sum("y") / F.sum("n"), 9).alias("rate"))
+
+
+@query(f"""WITH {_C}, t AS (SELECT score, tp / (tp + fp) AS precision, tp / p AS recall FROM c), f(least) AS (VALUES (0.15::DOUBLE), (0.2::DOUBLE), (0.21::DOUBLE)),
+r AS (SELECT least, score, precision, recall, row_number() OVER (PARTITION BY least ORDER BY recall DESC, score DESC) AS n FROM t JOIN f ON precision >= least) SELECT 'recall_at_' || least AS rule, score AS threshold, round(precision, 9) AS precision, round(recall, 9) AS recall FROM r WHERE n = 1""")
+def thresholds_at_floors(spark, d):
+    """The threshold of largest recall at each of several least precisions."""
+    got = E.best_threshold(scored(spark, d), "y", "score", [0.15, 0.2, 0.21]).where("rule <> 'max_f1'")
+    return got.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, round(o_totalprice / 5000)::BIGINT AS price, (o_custkey % 997)::BIGINT AS customer, (o_orderpriority = '1-URGENT')::INT AS y FROM orders), q AS (SELECT 'price' AS policy, y, row_number() OVER (ORDER BY price DESC, id) AS r FROM s UNION ALL SELECT 'customer', y, row_number() OVER (ORDER BY customer DESC, id) FROM s UNION ALL SELECT 'both', y, row_number() OVER (ORDER BY price * 10 + customer DESC, id) FROM s), n(k) AS (VALUES (100), (500), (1000))
+SELECT policy, k::BIGINT AS k, sum(y)::BIGINT AS hits, round(avg(y), 9) AS precision FROM q JOIN n ON r <= k GROUP BY ALL""")
+def policy_frontier(spark, d):
+    """Hits of several policies at several sizes: running counts of each policy's order, one pass a policy."""
+    from asofkit.operators.ranking import running_totals
+
+    s = scored(spark, d).join(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 997).alias("customer")), "id")
+    policies, sizes = {"price": F.col("score"), "customer": F.col("customer"), "both": F.col("score") * 10 + F.col("customer")}, [100, 500, 1000]
+    out = None
+    for name, score in policies.items():
+        top = running_totals(s.select("id", "y", score.alias("v")), "v", {"r": F.lit(1)}, ["id"], descending=True).where(F.col("r") <= max(sizes))
+        one = top.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in sizes])).alias("k")).where("r <= k").groupBy("k").agg(F.sum("y").alias("hits"), F.round(F.avg("y"), 9).alias("precision")).withColumn("policy", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
