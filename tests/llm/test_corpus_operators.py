@@ -111,6 +111,36 @@ def test_index_compacts_and_finds_history(spark):
     assert index.append(frame(spark, [text], 20)).count() > 0
 
 
+def test_index_goes_on_in_a_second_session(spark, tmp_path):
+    folder, text, other = str(tmp_path), " ".join(prose(5, 40, 9999)), " ".join(prose(6, 40, 9999))
+    index = substring_dedup.WindowIndex(folder=folder)
+    assert index.append(frame(spark, [text])).count() == 0
+    again = substring_dedup.WindowIndex.load(spark.newSession(), folder)
+    assert [len(x) for x in again.levels] == [1] and again.append(frame(spark, [other], 10)).count() == 0
+    third = substring_dedup.WindowIndex.load(spark, folder)
+    assert [len(x) for x in third.levels] == [0, 1]
+    assert third.append(frame(spark, [text], 20)).count() > 0
+    # what an append writes before it dies is not part of the index
+    broken = substring_dedup.WindowIndex.load(spark, folder)
+    broken._written(substring_dedup.fingerprints(frame(spark, [other], 30).select("doc_id", "text"), 13, 4).withColumns({"first": F.col("doc_id"), "last": F.col("doc_id")}), 0)
+    assert substring_dedup.WindowIndex.load(spark, folder).paths == third.paths
+    assert substring_dedup.WindowIndex.load(spark, folder).append(frame(spark, []).limit(0)).count() == 0
+
+
+def test_fragments_cut_the_global_order(spark):
+    texts = [*near_copies(30), None, "one two"]
+    often = np.array([], np.uint64)
+    every = [s for _, s in ngram_jaccard.sets_of(__import__("pyarrow").array([t or "" for t in texts]), 5)]
+    often = np.unique(np.concatenate(every))[::7]
+    docs = frame(spark, texts)
+    pairs = spark.createDataFrame([(i, j) for i in range(0, len(texts), 3) for j in range(i + 1, len(texts), 4)], "a long, b long")
+    got = {(r.a, r.b): r.overlap for r in ngram_jaccard.overlaps(pairs, docs, 5, often).collect()}
+    for r in pairs.collect():
+        assert got.get((r.a, r.b), 0) == len(np.intersect1d(every[r.a], every[r.b]))
+    parts = {r.fragment for r in ngram_jaccard._fragments(docs, 5, often).collect()}
+    assert parts == set(range(ngram_jaccard.FRAGMENTS + 1))
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
@@ -120,6 +150,10 @@ def test_bpe_is_tiktoken(spark):
     docs = frame(spark, texts)
     got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in bpe.encode(docs, bpe_ranks(), split_pattern()).collect()}
     assert got == {i: (engine.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    odd = [(None, "null id"), (None, None), (5, "one"), (5, "one"), (5, "two words")]
+    rows = sorted(((r.doc_id, bytes(r.decoded), len(r.ids) // 4) for r in bpe.encode(frame(spark, odd), bpe_ranks(), split_pattern()).collect()), key=str)
+    assert rows == sorted(((i, (t or "").encode(), len(engine.encode_ordinary(t or ""))) for i, t in odd), key=str)
+    assert bpe.digest(bpe.encode(frame(spark, []).limit(0), bpe_ranks(), split_pattern())).count() == 0
     row = bpe.digest(bpe.encode(docs, bpe_ranks(), split_pattern())).where("doc_id = 3").first()
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, engine.encode_ordinary("one"))).encode()).hexdigest()
 
@@ -249,6 +283,17 @@ def test_neighbours_do_not_depend_on_input_size(spark, monkeypatch):
     assert find() == whole and len(whole) == 200
 
 
+def test_tied_neighbours_come_by_id(spark):
+    rng = np.random.Generator(np.random.PCG64(14))
+    x = rng.normal(size=(300, 16))
+    x[20:200] = x[0]  # 181 equal vectors: more ties than a cell may hand on
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(7, [float(v) for v in x[7]])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(rows, F.pmod("vec_id", F.lit(50)) == 0).collect()}
+    assert [got[0, k][0] for k in range(1, 6)] == [20, 21, 22, 23, 24] and [got[50, k][0] for k in range(1, 6)] == [0, 20, 21, 22, 23]
+    assert all(abs(got[0, k][1] - 1) < 1e-12 for k in range(1, 6))
+    assert ann.search(rows.limit(0), F.pmod("vec_id", F.lit(50)) == 0).count() == 0
+
+
 def test_url_rules(spark):
     urls = ["http://A.net/x", "http://x.example.net/en/1", "http://example.com/de/1?q#f", "https://b.org/fr/", "http://c.net", None, "no scheme", "http://other.com/en/", "http://a.net/x", "http://net/", "http://notnet/"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(0, "http://A.net/x", "z")], "page_id long, url string, verdict string")
@@ -430,6 +475,24 @@ def test_pipeline_is_its_stages(spark):
     assert last.select("doc_id").distinct().count() == kept.count()
 
 
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, repeated and null ids, empty texts and an empty table, in every stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = docs.orderBy("doc_id").limit(3).collect()
+    odd = [(None, None, None, None, None), (None, whole[0].text, "en", None, 1), (10**9, "", "en", "s", 0), (10**9, None, "de", "s", None), (10**9 + 1, whole[1].text, None, "s", 5), (10**9 + 1, whole[1].text, None, "s", 5), (10**9 + 2, "word " * 3000, "en", "s", 15000)]
+    rows = spark.createDataFrame([tuple(r) for r in whole] + odd, docs.schema).withColumn("score", F.lit("clash"))
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert corpus_pipeline.toxic(spark, rows, SF).where("text is null or text = ''").count() == 3
+    near = corpus_pipeline.near_duplicates(spark, rows, SF)
+    assert near.columns == plain and near.where(f"doc_id = {10**9 + 1}").count() == 0 and near.where("doc_id is null").count() == 2
+    cut = corpus_pipeline.repeated_passages(spark, rows, SF)
+    assert cut.columns == plain and {r.doc_id for r in cut.collect()} >= {r.doc_id for r in whole} | {None, 10**9}
+    packed = corpus_pipeline.packed(spark, rows, SF).toPandas()
+    assert (packed.piece == 0).sum() == rows.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, rows.limit(0), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0 and name.startswith("op")
