@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 SHINGLE, SCALE = 5, 8
 #: Kept hashes from which a sketch stands for its text in a likeness.
 LEAST_KEPT = 16
-#: Ranges of doc_id that the order is cut into, by approximate quantiles: one for so many rows, and at most so many.
-RANGE_ROWS, RANGES = 2000, 4096
+#: Ranges of doc_id that the order is cut into, by approximate quantiles: one for so many rows, and at most so many. The window
+#: of a range is sorted and spilled, so a larger range costs disk and time and no memory.
+RANGE_ROWS, RANGES = 2000, 1 << 16
 
 
 def _let(value: Column, body) -> Column:
@@ -72,14 +73,14 @@ def ranges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     n = rows.count()
     cuts = min(RANGES, -(-n // RANGE_ROWS)) - 1
-    found = rows.agg(F.percentile_approx("doc_id", [i / (cuts + 1) for i in range(1, cuts + 1)], 100 * (cuts + 1))).first()[0] if cuts > 0 else None
+    found = rows.agg(F.percentile_approx("doc_id", [i / (cuts + 1) for i in range(1, cuts + 1)], 10 * (cuts + 1))).first()[0] if cuts > 0 else None
     bounds = sorted(set(found or []))
-    coarse = bounds[63::64]
+    coarse = bounds[255::256]
     below = lambda values: F.size(F.filter(values, lambda b: b < F.col("doc_id")))
     if bounds:
         whole = F.array(*[F.lit(b).cast("long") for b in bounds])
         step = below(F.array(*[F.lit(b).cast("long") for b in coarse])) if coarse else F.lit(0)
-        bucket = _let(step, lambda s: s * 64 + below(F.slice(whole, s * 64 + 1, 64)))
+        bucket = _let(step, lambda s: s * 256 + below(F.slice(whole, s * 256 + 1, 256)))
     else:
         bucket = F.lit(0)
     placed = rows.select("doc_id", "text").withColumn("_range", bucket)
