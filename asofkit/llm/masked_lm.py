@@ -66,13 +66,13 @@ class Network:
     def log_prob(self, padded: np.ndarray, where: np.ndarray) -> np.ndarray:
         """log P(class at each place of padded | its sides)."""
         out = np.empty(len(where), np.float64)
-        for a in range(0, len(where), 8192):
-            at = where[a : a + 8192]
+        for a in range(0, len(where), 1024):
+            at = where[a : a + 1024]
             z = self.hidden([padded[at + k] for k in self.places]) @ self.out + self.out_bias
             top = z.max(1)
             own = z[np.arange(len(at)), padded[at]]
             z -= top[:, None]
-            out[a : a + 8192] = own - top - np.log(np.exp(z, out=z).sum(1))
+            out[a : a + 1024] = own - top - np.log(np.exp(z, out=z).sum(1))
         return out
 
     def weights(self) -> np.ndarray:
@@ -86,33 +86,53 @@ class Network:
             at += old.size
 
     def train(self, padded: np.ndarray, where: np.ndarray, passes: int = PASSES, seed: int = SEED) -> None:
-        """Adam on the mean negative log-probability."""
+        """Adam on the mean negative log-probability; all weights are views of one array, so that a step is a few operations."""
         rng = np.random.Generator(np.random.PCG64(seed + 1))
-        params = [self.embed, self.bias, self.out, self.out_bias]
-        first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        flat = self.weights()
+        first, second, grad, part, t = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), 0
+        embed, bias, out, out_bias = self._views(flat)
+        g_embed, g_bias, g_out, g_out_bias = self._views(grad)
+        self.embed, self.bias, self.out, self.out_bias = embed, bias, out, out_bias
+        units, place = np.arange(HIDDEN), [k * (CLASSES + 1) for k in range(len(self.places))]
         for _ in range(passes):
             order = rng.permutation(where)
             for a in range(0, len(order), BATCH):
                 at = order[a : a + BATCH]
                 sides = [padded[at + k] for k in self.places]
                 h = self.hidden(sides)
-                z = h @ self.out + self.out_bias
+                z = h @ out + out_bias
                 z -= z.max(1, keepdims=True)
                 np.exp(z, out=z)
-                z /= z.sum(1, keepdims=True)
-                z[np.arange(len(at)), padded[at]] -= 1
-                z /= len(at)
-                back = (z @ self.out.T) * (1 - h * h)
-                embed = np.empty_like(self.embed)
-                for g, s in zip(embed, sides, strict=True):
-                    hot = np.zeros((len(at), CLASSES + 1), np.float32)
-                    hot[np.arange(len(at)), s] = 1
-                    np.matmul(hot.T, back, out=g)
+                z *= 1 / (z.sum(1, keepdims=True) * np.float32(len(at)))
+                z[np.arange(len(at)), padded[at]] -= np.float32(1 / len(at))
+                back = (z @ out.T) * (1 - h * h)
+                # sums of back by place and class, all in one count
+                cell = (np.add.outer(place, np.zeros(len(at), np.int64)) + np.stack(sides)) * HIDDEN
+                g_embed[...] = np.bincount((cell[:, :, None] + units).ravel(), np.broadcast_to(back, (len(place), *back.shape)).ravel(), g_embed.size).reshape(g_embed.shape)
+                g_bias[...], g_out[...], g_out_bias[...] = back.sum(0), h.T @ z, z.sum(0)
                 t += 1
-                for p, g, m, v in zip(params, (embed, back.sum(0), h.T @ z, z.sum(0)), first, second, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                np.subtract(grad, first, out=part)
+                part *= 0.1
+                first += part
+                grad *= grad
+                grad -= second
+                grad *= 0.001
+                second += grad
+                np.sqrt(second, out=part)
+                part *= 1 / np.sqrt(1 - 0.999**t)
+                part += 1e-8
+                np.divide(first, part, out=part)
+                part *= RATE / (1 - 0.9**t)
+                flat -= part
+
+    def _views(self, flat: np.ndarray) -> list[np.ndarray]:
+        """The parts of an array of weights() in their shapes."""
+        at, out = 0, []
+        for name in ("embed", "bias", "out", "out_bias"):
+            old = getattr(self, name)
+            out.append(flat[at : at + old.size].reshape(old.shape))
+            at += old.size
+        return out
 
 
 def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
