@@ -36,9 +36,12 @@ def thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def best_threshold(df: DataFrame, label: str, score: str, floors: list[float]) -> DataFrame:
-    """The threshold of largest f1, and for each floor that of largest recall at precision >= floor; ties to the larger score."""
+    """The threshold of largest f1, and for each floor that of largest recall at precision >= floor; ties to the larger score.
+
+    A floor that no threshold reaches has no row.
+    """
     t = thresholds(df, label, score)
-    pick = lambda name, key, where: t.where(where).agg(F.max(F.struct(*key, "score", "precision", "recall")).alias("b")).select(F.lit(name).alias("rule"), F.col("b.score").alias("threshold"), F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"))
+    pick = lambda name, key, where: t.where(where).agg(F.max(F.struct(*key, "score", "precision", "recall")).alias("b")).where("b is not null").select(F.lit(name).alias("rule"), F.col("b.score").alias("threshold"), F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"))
     out = pick("max_f1", [F.col("f1").alias("k")], F.lit(True))
     for f in floors:
         out = out.union(pick(f"recall_at_{f}", [F.col("recall").alias("k")], F.col("precision") >= f))

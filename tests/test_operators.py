@@ -351,3 +351,10 @@ def test_first_component_and_list_overlap(spark):
     assert ranking.first_component_share(gaps, ["a", "c"]) == 1.0
     lists = spark.createDataFrame([(["a", "b", "b"], ["b", "c"]), ([], []), (None, ["a"])], "a array<string>, b array<string>")
     assert [r[0] for r in lists.select(ranking.list_jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0, None]
+
+
+def test_a_floor_that_no_threshold_reaches_has_no_row(spark):
+    rows = spark.createDataFrame([(0, 3), (1, 2), (0, 1)], "y int, s long")
+    got = {r.rule: (r.threshold, r.precision, r.recall) for r in evaluation.best_threshold(rows, "y", "s", [0.5, 0.9]).collect()}
+    assert got == {"max_f1": (2, 0.5, 1.0), "recall_at_0.5": (2, 0.5, 1.0)}
+    assert evaluation.best_threshold(rows.where("s > 9"), "y", "s", [0.0]).count() == 0

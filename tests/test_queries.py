@@ -19,3 +19,8 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_unmet_floors_at_a_larger_size(spark):
+    larger = "/root/testdata/sf0.1"  # where no threshold has a precision of 0.21
+    same(plans.QUERIES["thresholds_at_floors"](spark, larger), connect(larger), plans.ORACLE["thresholds_at_floors"])
