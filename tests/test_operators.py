@@ -358,3 +358,24 @@ def test_a_floor_that_no_threshold_reaches_has_no_row(spark):
     got = {r.rule: (r.threshold, r.precision, r.recall) for r in evaluation.best_threshold(rows, "y", "s", [0.5, 0.9]).collect()}
     assert got == {"max_f1": (2, 0.5, 1.0), "recall_at_0.5": (2, 0.5, 1.0)}
     assert evaluation.best_threshold(rows.where("s > 9"), "y", "s", [0.0]).count() == 0
+
+
+def test_many_markets_in_few_calls(spark):
+    """Markets of many keys are replayed in one pass a partition, and give what one market after the other gives."""
+    rng = np.random.Generator(np.random.PCG64(21))
+    start = replay.Market(10**13, 10**15, 10**12, 8 * 10**14)
+    rows = [(int(k), int(at), "sell" if s else "buy", None if a == 0 else int(a) * 10**8) for at, (k, s, a) in enumerate(zip(rng.integers(0, 700, 30_000), rng.integers(0, 2, 30_000), rng.integers(0, 90_000, 30_000), strict=True))]
+    rows = [*rows, (None, 1, "buy", 2**60), (None, 2, "sell", 2**62 + 1), (None, 3, None, 5), (701, 1, "buy", 1)]
+    want = {}
+    for k, _, side, amount in sorted(rows, key=lambda r: r[1]):
+        m, filled, rejected = want.get(k, (start, 0, 0))
+        try:
+            if amount is None:
+                raise ValueError
+            want[k] = (m.buy(amount)[0] if side == "buy" else m.sell(amount)[0], filled + 1, rejected)
+        except ValueError:
+            want[k] = (m, filled, rejected + 1)
+    t = spark.createDataFrame(rows, "k long, at long, side string, amount long")
+    got = replay.replay(t, "k", ["at"], start)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    assert {r.k: (r.filled, r.rejected, r.quote_reserve, r.token_reserve) for r in got.collect()} == {k: (f, x, str(m.virtual_quote), str(m.virtual_token)) for k, (m, f, x) in want.items()}
