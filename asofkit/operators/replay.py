@@ -7,9 +7,10 @@ streamed through one function a partition, which holds one market at a time: no
 from __future__ import annotations
 
 import math
+from collections import namedtuple
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +100,15 @@ def _whole(values: list) -> list:
     return [x if type(x) is int else None if x is None or not math.isfinite(x) else int(x) for x in values]
 
 
+def _all_units(column: pa.Array, scale: int) -> list:
+    """to_units() of every value; null where there is no finite number."""
+    with np.errstate(all="ignore"):
+        x = np.rint(column.cast(pa.float64()).to_numpy(zero_copy_only=False) * scale)
+        if (np.abs(x) < 2**63).all():
+            return x.astype(np.int64).tolist()
+    return _whole(x.tolist())
+
+
 def replay(trades: DataFrame, key: str, order: list[str], start: Market) -> DataFrame:
     """key, trades filled, trades rejected and the last state of each key's market; trades: side ('buy' or 'sell'), amount.
 
@@ -178,78 +188,204 @@ def starts_as_expected(first, rules: Rules) -> tuple[bool, float, float]:
     return error <= PRICE_ERROR, abs(quote - to_units(first.quote, rules.quote_scale)) / rules.quote_scale, error
 
 
-def replay_position(trades: list, anchor, rules: Rules, intent: str, rate: float) -> dict:
-    """Put an own buy right after the entry trade and an own sale right after the exit trade; trades are in order.
+class _Position:
+    """An own position that is being replayed: where it starts and ends, what it has come to, and its own market once it is in."""
+
+    __slots__ = ("end", "entry", "held", "intent", "market", "policy", "out")
+
+    def __init__(self, policy, intent: str):
+        self.policy, self.intent, self.entry, self.end, self.market, self.held, self.out = policy, intent, None, None, None, None, None
 
-    Two markets run side by side: the observed one, held against recorded prices, and from the entry on the one with the
-    own tokens, in which others spend the same quote or take the same tokens, by intent.
+
+class _Token:
+    """One token's market and the positions asked of it; trades come one by one, in order.
+
+    An own buy is put right after the entry trade and an own sale right after the exit trade. Two markets run side by side: the
+    observed one, held against recorded prices, and from the entry on one a position with its own tokens, in which others spend
+    the same quote or take the same tokens, by intent. They follow Market.buy(), buy_tokens() and sell(), without an object a trade.
     """
-    fits, quote_error, price_error = starts_as_expected(trades[0], rules)
-    out = {"status": OK, "quote_error": quote_error, "price_error": price_error}
-    if not fits:
-        return {**out, "status": NONSTANDARD}
-    if anchor.exit_slot is None or pd.isna(anchor.exit_slot):
-        return {**out, "status": NO_EXIT}
-    if {anchor.entry_program, anchor.exit_program} != {rules.program}:
-        return {**out, "status": OTHER_PROGRAM}
-    entry, end = ((int(getattr(anchor, f"{w}_slot")), int(getattr(anchor, f"{w}_tx")), int(getattr(anchor, f"{w}_event"))) for w in ("entry", "exit"))
-    seen = own = rules.start
-    held, worst = None, 0.0
-    try:
-        for t in trades:
-            at = (int(t.slot), int(t.tx), int(t.event))
-            if at > end:
-                break
-            if t.program != rules.program or t.side not in ("buy", "sell"):
-                return {**out, "status": OTHER_PROGRAM if t.program != rules.program else OTHER_SIDE}
-            tokens = to_units(t.tokens, rules.token_scale)
-            seen, quote = seen.buy_tokens(tokens) if t.side == "buy" else seen.sell(tokens)
-            if t.price > 0:
-                worst = max(worst, abs(seen.price(rules.quote_scale, rules.token_scale) - t.price) / t.price)
-                if worst > PRICE_ERROR:
-                    return {**out, "status": UNSEEN_CHANGE, "worst_price_error": worst}
-            if held is None:
-                own = seen
-                if at == entry:
-                    own, held = own.buy(to_units(rules.stake, rules.quote_scale))
-                continue
-            if t.side == "sell":
-                own = own.sell(tokens)[0]
+
+    def __init__(self, token, rules: Rules, intents: tuple[str, ...]):
+        self.token, self.rules, self.intents, self.asked, self.done, self.live, self.base, self.worst = token, rules, intents, [], [], None, {}, 0.0
+        s = rules.start
+        self.seen = (s.virtual_quote, s.virtual_token, s.real_quote, s.real_token)
+
+    def finish(self, p: _Position, status: str, **more) -> None:
+        p.out = {**self.base, **more, "status": status}
+        self.done.append(p)
+
+    def finish_all(self, status: str, **more) -> None:
+        for p in self.live:
+            self.finish(p, status, **more)
+        self.live = []
+
+    def begin(self, first: _First | None) -> None:
+        """Take up the positions asked for, with the first trade; without one there is no market."""
+        self.live, fits = [], False
+        if first is not None:
+            fits, quote_error, price_error = starts_as_expected(first, self.rules)
+            self.base = {"quote_error": quote_error, "price_error": price_error}
+        for a in self.asked:
+            for intent in self.intents:
+                p = _Position(a["policy"], intent)
+                if not fits:
+                    self.finish(p, NONSTANDARD)
+                elif a["exit_slot"] is None:
+                    self.finish(p, NO_EXIT)
+                elif {a["entry_program"], a["exit_program"]} != {self.rules.program}:
+                    self.finish(p, OTHER_PROGRAM)
+                else:
+                    p.entry, p.end = ((a[f"{w}_slot"], a[f"{w}_tx"], a[f"{w}_event"]) for w in ("entry", "exit"))
+                    self.live.append(p)
+
+    def trade(self, at: tuple, kind: int, tokens: int | None, price: float) -> None:
+        if None in at:
+            return self.finish_all(INVALID)
+        over = [p for p in self.live if at > p.end]
+        if over:
+            self.live = [p for p in self.live if at <= p.end]
+            for p in over:
+                self.finish(p, NO_ANCHOR)
+            if not self.live:
+                return None
+        if kind < _BUY:
+            return self.finish_all(OTHER_PROGRAM if kind == _ELSEWHERE else OTHER_SIDE)
+        vq, vt, rq, rt = self.seen
+        if kind == _BUY:
+            if tokens is None or not 0 < tokens < vt or rt < tokens:
+                return self.finish_all(INVALID)
+            quote = -(-tokens * vq // (vt - tokens)) + 1
+            if quote <= 0 or rq < -quote:
+                return self.finish_all(INVALID)
+            vq, vt, rq, rt = self.seen = (vq + quote, vt - tokens, rq + quote, rt - tokens)
+        else:
+            quote = tokens * vq // (vt + tokens) if tokens is not None and tokens > 0 else 0
+            if not 0 < quote <= rq or rt < -tokens:
+                return self.finish_all(INVALID)
+            vq, vt, rq, rt = self.seen = (vq - quote, vt + tokens, rq - quote, rt + tokens)
+        if price > 0:
+            rules = self.rules
+            self.worst = max(self.worst, abs(vq / vt * rules.token_scale / rules.quote_scale - price) / price)
+            if self.worst > PRICE_ERROR:
+                return self.finish_all(UNSEEN_CHANGE, worst_price_error=self.worst)
+        ended = False
+        for p in self.live:
+            if p.held is None:
+                if at == p.entry:
+                    ended |= self.enter(p)
             else:
-                own = own.buy(quote)[0] if intent == "fixed_quote" else own.buy_tokens(tokens)[0]
-            if at == end:
-                own, got = own.sell(held)
-                flow = cash_flow(rules.stake, got / rules.quote_scale, rules.fee, rate)
-                return {**out, **flow, "held": held / rules.token_scale, "roi": flow["pnl"] / rules.stake, "worst_price_error": worst}
-    except ValueError:
-        return {**out, "status": INVALID}
-    return {**out, "status": NO_ANCHOR}
+                ended |= self.follow(p, at, kind, tokens, quote)
+        if ended:
+            self.live = [p for p in self.live if p.out is None]
+        return None
+
+    def enter(self, p: _Position) -> bool:
+        """The own buy, after the trade just seen; true if the position is over."""
+        try:
+            market, p.held = Market(*self.seen).buy(to_units(self.rules.stake, self.rules.quote_scale))
+        except ValueError:
+            self.finish(p, INVALID)
+            return True
+        p.market = (market.virtual_quote, market.virtual_token, market.real_quote, market.real_token)
+        return False
+
+    def follow(self, p: _Position, at: tuple, kind: int, tokens: int, quote: int) -> bool:
+        """Another's trade in the market with the own tokens, and the own sale if it is the exit; true if the position is over."""
+        vq, vt, rq, rt = p.market
+        if kind == _SELL:
+            out = tokens * vq // (vt + tokens)
+            if not 0 < out <= rq or rt < -tokens:
+                self.finish(p, INVALID)
+                return True
+            p.market = (vq - out, vt + tokens, rq - out, rt + tokens)
+        else:
+            if p.intent == "fixed_quote":
+                pays, takes = quote, (quote - 1) * vt // (vq + quote - 1) if quote > 1 else 0
+            else:
+                takes = tokens if tokens < vt else 0
+                pays = -(-takes * vq // (vt - takes)) + 1
+            if not 0 < takes <= rt or pays <= 0 or rq < -pays:
+                self.finish(p, INVALID)
+                return True
+            p.market = (vq + pays, vt - takes, rq + pays, rt - takes)
+        if at != p.end:
+            return False
+        try:
+            got = Market(*p.market).sell(p.held)[1]
+        except ValueError:
+            self.finish(p, INVALID)
+            return True
+        self.finish(p, OK, gross=got / self.rules.quote_scale, held=p.held / self.rules.token_scale, worst_price_error=self.worst)
+        return True
+
+    def rows(self, rates: list[float]) -> list[tuple]:
+        """What has come of the positions, when there are no more trades."""
+        if self.live is None:
+            self.begin(None)
+        self.finish_all(NO_ANCHOR)
+        found, rules = [], self.rules
+        for p in self.done:
+            for rate in rates:
+                got = p.out
+                if got["status"] == OK:
+                    flow = cash_flow(rules.stake, got["gross"], rules.fee, rate)
+                    got = {**got, **flow, "roi": flow["pnl"] / rules.stake}
+                found.append((self.token, p.policy, p.intent, rate, got["status"], *[got.get(f) for f in _FIELDS]))
+        return found
 
 
 _FIELDS = ("quote_error", "price_error", "worst_price_error", "entry", "exit", "pnl", "held", "roi")
+_First = namedtuple("_First", ["side", "program", "tokens", "quote", "price"])
+# fixed values: kinds of a trade; of another program, of the program but neither bought nor sold, bought, sold
+_ELSEWHERE, _NEITHER, _BUY, _SELL = range(4)
 
 
 def replay_positions(trades: DataFrame, anchors: DataFrame, rules: Rules, rates: list[float], intents: tuple[str, ...] = INTENTS) -> DataFrame:
     """A row for each anchor, intent and fee rate: status, and the position's figures where it is ok.
 
     trades: token, slot, tx, event, side, program, tokens, quote, price; anchors: token, policy, entry_slot, entry_tx, entry_event,
-    entry_program and the same of the exit. Both sides are dealt by token once; an anchor without trades has no market.
+    entry_program and the same of the exit. Both sides are dealt by token once, and a token's anchors come before its trades, so that
+    one pass serves all its anchors and holds none of the trades; an anchor without trades has no market. Trades that slot, tx and
+    event leave tied go by their other columns.
     """
+    place = [F.col(c).cast("long").alias(c) for c in ("slot", "tx", "event")]
+    bought = F.when(F.col("side") == "buy", _BUY).when(F.col("side") == "sell", _SELL).otherwise(_NEITHER)
+    kind = F.when(F.col("program") == rules.program, bought).otherwise(_ELSEWHERE).cast("int").alias("kind")
+    t = trades.select("token", *place, kind, *[F.col(c).cast("double").alias(c) for c in ("tokens", "quote", "price")])
+    places = [F.col(f"{w}_{c}").cast("long").alias(f"{w}_{c}") for w in ("entry", "exit") for c in ("slot", "tx", "event")]
+    a = anchors.select("token", F.array(F.struct("policy", "entry_program", "exit_program", *places)).alias("anchor"))
+    both = in_order(t.unionByName(a, allowMissingColumns=True), "token", [F.col("anchor").isNull(), "slot", "tx", "event", "kind", "tokens", "quote", "price"])
+    names = ["token", "policy", "intent", "rate", "status", *_FIELDS]
+
+    def run(batches):
+        now, none, kinds = None, object(), None
+        last = none
+        for b in batches:
+            c = dict(zip(b.schema.names, b.columns, strict=True))
+            kinds = kinds or [c["token"].type, pa.string(), pa.string(), pa.float64(), pa.string(), *[pa.float64()] * len(_FIELDS)]
+            numbers = [c[x].to_numpy(zero_copy_only=False).tolist() for x in ("tokens", "quote", "price")]
+            place = list(zip(*[_values(c[x]) for x in ("slot", "tx", "event")], strict=True))
+            asked = _values(c["anchor"]) if c["anchor"].null_count < b.num_rows else [None] * b.num_rows
+            out = []
+            for k, anchor, at, kind, whole, tokens, quote, price in zip(_values(c["token"]), asked, place, _values(c["kind"]), _all_units(c["tokens"], rules.token_scale), *numbers, strict=True):
+                if k != last and (k == k or last == last):
+                    if now is not None:
+                        out += now.rows(rates)
+                    last, now = k, _Token(k, rules, intents)
+                if anchor is not None:
+                    now.asked += anchor
+                    continue
+                if now.live is None:
+                    now.begin(_First("buy" if kind == _BUY else "", rules.program, tokens, quote, price))
+                if now.live:
+                    now.trade(at, kind, whole, price)
+            if out:
+                yield _batch(out, names, kinds)
+        if now is not None and (out := now.rows(rates)):
+            yield _batch(out, names, kinds)
 
-    def run(key, group: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        ordered = list(group.sort_values(["slot", "tx", "event"], kind="stable").itertuples(index=False))
-        rows = []
-        for a in asked.itertuples(index=False):
-            for intent in intents:
-                for rate in rates:
-                    got = replay_position(ordered, a, rules, intent, rate) if ordered else {"status": NONSTANDARD}
-                    rows.append([a.token, a.policy, intent, rate, got["status"], *[got.get(f) for f in _FIELDS]])
-        return pd.DataFrame(rows, columns=["token", "policy", "intent", "rate", "status", *_FIELDS])
-
-    kind = anchors.schema["token"].dataType.simpleString()
-    schema = f"token {kind}, policy string, intent string, rate double, status string, " + ", ".join(f"{f} double" for f in _FIELDS)
-    anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])  # columns of their own, where both sides come from one table
-    return trades.groupBy("token").cogroup(anchors.groupBy("token")).applyInPandas(run, schema)
+    schema = f"token {anchors.schema['token'].dataType.simpleString()}, policy string, intent string, rate double, status string, " + ", ".join(f"{f} double" for f in _FIELDS)
+    return both.mapInArrow(run, schema)
 
 
 def coverage(outcomes: DataFrame, keys: list[str]) -> DataFrame:

@@ -379,3 +379,48 @@ def test_many_markets_in_few_calls(spark):
     got = replay.replay(t, "k", ["at"], start)
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()
     assert {r.k: (r.filled, r.rejected, r.quote_reserve, r.token_reserve) for r in got.collect()} == {k: (f, x, str(m.virtual_quote), str(m.virtual_token)) for k, (m, f, x) in want.items()}
+
+
+def test_positions_of_many_tokens_in_one_pass(spark):
+    rng = np.random.Generator(np.random.PCG64(22))
+    start = replay.Market(5_000_000, 40_000_000, 0, 30_000_000)
+    rules = replay.Rules(start, "pump", 1000, 1000, 300.0, 1.0)
+    trades, anchors, want = [], [], {}
+    for token in range(300):
+        steps = [("buy", int(rng.integers(1, 6000))), *[(("buy", "sell")[int(rng.integers(0, 2))], int(rng.integers(1, 6000))) for _ in range(int(rng.integers(1, 12)))]]
+        m, filled = start, []
+        for side, n in steps:
+            try:
+                m = m.buy_tokens(n * 1000)[0] if side == "buy" else m.sell(n * 1000)[0]
+            except ValueError:
+                continue
+            filled.append((side, n, m.price(1000, 1000)))
+        trades += [(token, 1, i, 0, side, "pump", float(n), 0.0, price) for i, (side, n, price) in enumerate(filled)]
+        for policy, entry in (("early", 0), ("late", 1)):
+            end = len(filled) - 1
+            anchors.append((token, policy, 1, entry, 0, "pump", 1, end, 0, "pump"))
+            for intent in replay.INTENTS:
+                seen = own = start
+                held, status = None, replay.NO_ANCHOR
+                try:
+                    for i, (side, n, _) in enumerate(filled):
+                        seen, quote = seen.buy_tokens(n * 1000) if side == "buy" else seen.sell(n * 1000)
+                        if held is None:
+                            if i == entry:
+                                own, held = seen.buy(300_000)
+                            continue
+                        own = own.sell(n * 1000)[0] if side == "sell" else own.buy(quote)[0] if intent == "fixed_quote" else own.buy_tokens(n * 1000)[0]
+                    if held is not None and end > entry:
+                        own.sell(held)
+                        status = replay.OK
+                except ValueError:
+                    held, status = None, replay.INVALID
+                want[token, policy, intent] = status, held / 1000 if status == replay.OK else None
+    anchors.append((999, "early", 1, 0, 0, "pump", 1, 1, 0, "pump"))
+    want |= {(999, "early", i): (replay.NONSTANDARD, None) for i in replay.INTENTS}
+    t = spark.createDataFrame(trades, "token long, slot long, tx long, event long, side string, program string, tokens double, quote double, price double")
+    a = spark.createDataFrame(anchors, "token long, policy string, entry_slot long, entry_tx long, entry_event long, entry_program string, exit_slot long, exit_tx long, exit_event long, exit_program string")
+    got = replay.replay_positions(t, a, rules, [0.01])
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
+    assert {(r.token, r.policy, r.intent): (r.status, r.held) for r in got.collect()} == want
+    assert len({s for s, _ in want.values()}) == 4
