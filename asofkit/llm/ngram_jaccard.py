@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, exact, with one class id a document.
 
-The global order of n-grams puts rare ones first: n-grams found often in a sample of the corpus come last, by how often;
-all others come by their hash. The order is cut in fragments. The first fragment of a document, its prefix, holds
+The global order of n-grams puts rare ones first: n-grams that many documents hold, counted over all documents, come last, by
+how many; all others come by their hash. The order is cut in fragments. The first fragment of a document, its prefix, holds
 enough n-grams that two linked documents must share one of them; it yields candidate pairs. Each further fragment is
 joined apart, yields a partial overlap a pair, and the sum a pair is held against the threshold in whole numbers.
 
@@ -25,8 +25,8 @@ from asofkit.llm.common import bitmap_bits, bitmap_of, components, drop_material
 
 #: Fragments of the order that verification counts apart.
 FRAGMENTS = 8
-#: One document in so many is sampled to estimate which n-grams are frequent, and how often such a one is seen at least.
-SAMPLE, SEEN = 8, 3
+#: Documents that hold an n-gram for it to count as frequent, and n-grams of a task that are counted before they are shuffled.
+LEAST, COUNTED = 24, 1 << 21
 #: At most so many frequent n-grams are put last; the bound touches the order only, never the result.
 FREQUENT = 1 << 18
 #: Largest bucket whose pairs are joined row by row, and documents of a block for larger ones.
@@ -49,16 +49,28 @@ def sets_of(column: pa.Array, n: int):
 
 
 def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of the n-grams seen most in a sample of documents, rarest first; at most FREQUENT."""
+    """Hashes of the n-grams that at least LEAST documents hold, rarest first; of more than FREQUENT those that most hold."""
 
     def run(batches):
+        held, rows = [], 0
+
+        def counted():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["h", "c"])
+
         for b in batches:
             for _, s in sets_of(b.column(0), n):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["h"])
-
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(lean(run), "h long")
-    seen = materialize(sample.groupBy("h").count().where(F.col("count") >= SEEN), "seen")
+                held.append(s)
+                rows += len(s)
+                if rows >= COUNTED:
+                    yield from counted()
+                    held, rows = [], 0
+        if rows:
+            yield from counted()
+
+    counts = docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("count"))
+    seen = materialize(counts.where(F.col("count") >= LEAST), "seen")
     often = sorted((r["count"], r["h"]) for r in most_counted(seen, "count", FREQUENT).collect())
     drop_materialized(seen)
     return np.array([h for _, h in often], np.int64).view(np.uint64)

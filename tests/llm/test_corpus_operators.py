@@ -141,6 +141,13 @@ def test_fragments_cut_the_global_order(spark):
     assert parts == set(range(ngram_jaccard.FRAGMENTS + 1))
 
 
+def test_frequent_grams_are_counted_over_all_documents(spark):
+    least = ngram_jaccard.LEAST
+    texts = [f"{'a b c d e' if i < least + 5 else 'f g h i j' if i < 2 * least + 5 else 'k l m n o'} own{i}" for i in range(3 * least + 4)]
+    hashes = [ngram_jaccard.frequent_grams(frame(spark, [t] * least), 5)[0] for t in ("f g h i j", "a b c d e")]
+    assert ngram_jaccard.frequent_grams(frame(spark, texts), 5).tolist() == hashes  # k l m n o is held by one too few
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
