@@ -27,6 +27,8 @@ from asofkit.llm.common import bitmap_bits, bitmap_of, components, drop_material
 FRAGMENTS = 8
 #: Documents that hold an n-gram for it to count as frequent, and n-grams of a task that are counted before they are shuffled.
 LEAST, COUNTED = 24, 1 << 21
+#: Leading bits of a hash by which counted n-grams are dealt, packed.
+CUT_BITS = 12
 #: At most so many frequent n-grams are put last; the bound touches the order only, never the result.
 FREQUENT = 1 << 18
 #: Largest bucket whose pairs are joined row by row, and documents of a block for larger ones.
@@ -48,16 +50,24 @@ def sets_of(column: pa.Array, n: int):
                 yield first + i, np.zeros(0, np.uint64)
 
 
-def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of the n-grams that at least LEAST documents hold, rarest first; of more than FREQUENT those that most hold."""
+def packed_grams(docs: DataFrame, n: int) -> DataFrame:
+    """(cut, grams, counts): the n-grams of all texts, counted by task, packed a row for each cut of the hashes instead of a row each."""
+    cuts = np.arange(1 << CUT_BITS, dtype=np.uint64) << np.uint64(64 - CUT_BITS)
 
     def run(batches):
         held, rows = [], 0
 
+        def blobs(flat, at):
+            return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
         def counted():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(c[at : at + 100_000])], ["h", "c"])
+            at = np.append(np.searchsorted(h, cuts), len(h))
+            full = np.flatnonzero(np.diff(at))
+            at = np.append(at[full], len(h))
+            out = pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), blobs(h, at), blobs(c.astype(np.uint32), at)], ["cut", "grams", "counts"])
+            for a in range(0, out.num_rows, 512):
+                yield out.slice(a, 512)
 
         for b in batches:
             for _, s in sets_of(b.column(0), n):
@@ -69,8 +79,36 @@ def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
         if rows:
             yield from counted()
 
-    counts = docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("count"))
-    seen = materialize(counts.where(F.col("count") >= LEAST), "seen")
+    return docs.select("text").mapInArrow(lean(run), "cut int, grams binary, counts binary")
+
+
+def frequent_grams(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes of the n-grams that at least LEAST documents hold, rarest first; of more than FREQUENT those that most hold."""
+
+    def add(batches):
+        held, last = [], None
+
+        def summed():
+            h, c = (np.concatenate([np.frombuffer(x[k], t) for x in held]) for k, t in ((0, np.uint64), (1, np.uint32)))
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            total = np.add.reduceat(c[order].astype(np.int64), at)
+            often = total >= LEAST
+            return pa.RecordBatch.from_arrays([pa.array(h[at][often].view(np.int64)), pa.array(total[often])], ["h", "count"])
+
+        for b in batches:
+            for cut, grams, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if cut != last and held:
+                    yield summed()
+                    held = []
+                last = cut
+                held.append((grams.as_py(), counts.as_py()))
+        if held:
+            yield summed()
+
+    dealt = packed_grams(docs, n).repartition("cut").sortWithinPartitions("cut")
+    seen = materialize(dealt.mapInArrow(lean(add), "h long, count long"), "seen")
     often = sorted((r["count"], r["h"]) for r in most_counted(seen, "count", FREQUENT).collect())
     drop_materialized(seen)
     return np.array([h for _, h in often], np.int64).view(np.uint64)

@@ -148,6 +148,27 @@ def test_frequent_grams_are_counted_over_all_documents(spark):
     assert ngram_jaccard.frequent_grams(frame(spark, texts), 5).tolist() == hashes  # k l m n o is held by one too few
 
 
+def test_counted_grams_are_shuffled_packed(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "CUT_BITS", 3)
+    monkeypatch.setattr(ngram_jaccard, "COUNTED", 500)
+    texts = [" ".join(prose(k % 6, 200)) for k in range(40)]
+    packed = ngram_jaccard.packed_grams(frame(spark, texts).repartition(2), 5)
+    rows = packed.collect()
+    assert len(rows) <= 8 * 2 * 12  # a row for each cut and count of a task, where a row for each n-gram would be over 1,000
+    got = {}
+    for r in rows:
+        for h, c in zip(np.frombuffer(r.grams, "<u8").tolist(), np.frombuffer(r.counts, "<u4").tolist(), strict=True):
+            assert h >> 61 == r.cut
+            got[h] = got.get(h, 0) + c
+    monkeypatch.setattr(ngram_jaccard, "LEAST", 7)
+    want = {}
+    for t in texts:
+        for g in {tuple(t.split()[k : k + 5]) for k in range(196)}:
+            want[g] = want.get(g, 0) + 1
+    assert sorted(got.values()) == sorted(want.values())
+    assert set(ngram_jaccard.frequent_grams(frame(spark, texts), 5).tolist()) == {h for h, c in got.items() if c >= 7}
+
+
 def test_bpe_is_tiktoken(spark):
     import tiktoken
 
