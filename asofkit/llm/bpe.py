@@ -3,8 +3,9 @@
 Texts are split by the tokenizer's pattern into words, and distinct words are encoded in the JVM: an aggregate over a
 word's byte array merges the neighbours of lowest rank until no merge is left. Bytes are held as Latin-1 strings, ranks as a
 literal array of small maps picked by crc32, so a look-up costs the same for any vocabulary. The words met most in the
-whole corpus, at most COMMON of them, are encoded once and broadcast; the other distinct words of a block of documents
-are encoded where the block is, so that no text, word or id is shuffled. Decoding concatenates the byte strings of the ids.
+whole corpus, at most COMMON of them, are encoded once and broadcast by the order of their hashes, a hash that is found being
+held against the word; the other distinct words of a block of documents are encoded where the block is, so that no text
+or id is shuffled. Decoding concatenates the byte strings of the ids.
 
 Words of over FOLD_BYTES bytes, for which a fold takes time that grows with the square, are merged exactly by a heap.
 
@@ -22,17 +23,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_materialized, lean, materialize, most_counted
+from asofkit.llm.common import drop_materialized, lean, materialize, most_counted, string_hashes
 from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
 FOLD_BYTES, BLOCK_CHARS, MAPS = 128, 4 << 20, 1 << 15
-#: Words that are broadcast with their ids: at most about 20 MB.
-COMMON = 200_000
+#: Words that are broadcast with their ids, as flat arrays: at most about 100 MB.
+COMMON = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -133,72 +135,86 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     counts = materialize(counts.where((F.col("n") > 1) & short(F.col("word"))), "counts")
     common = most_counted(counts, "n", COMMON).select("word", table.merge(bytes_of(F.col("word"))).alias("ids")).toArrow().combine_chunks()
     drop_materialized(counts)
-    words = common.column("word").to_pylist()
-    lists = common.column("ids").combine_chunks() if common.num_rows else pa.array([], pa.list_(pa.int32()))
-    token = [x.astype("<u4").tobytes() for x in _split_lists(lists)]
+    words, lists = (common.column(k).combine_chunks() if common.num_rows else pa.array([], t) for k, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+    hashes = string_hashes(words)
+    order = np.argsort(hashes)
     spark = docs.sparkSession
-    known_words, known_ids = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast((token, ranks))
-    del common, lists
+    known_words, known_ids = spark.sparkContext.broadcast((hashes[order], words.take(pa.array(order)))), spark.sparkContext.broadcast((lists.take(pa.array(order)), ranks))
+    del common, words, lists, hashes, order
 
     def block(batches):
-        index, split = _kept(known_words, "index", lambda v: {w: i for i, w in enumerate(v)}), Splitter(pattern)
-        known, pack = len(index), zstandard.ZstdCompressor(1).compress
-        ids, codes, rare, held = [], [], {}, 0
+        split, pack = Splitter(pattern), zstandard.ZstdCompressor(1).compress
+        ids, codes, index, held = [], [], _Numbers(), 0
 
         def row():
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((ids, codes, list(rare)), kinds, strict=True)], ["doc_ids", "codes", "rare"])
+            own = pa.array(list(index), pa.string())
+            at = positions(*known_words.value, own)
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((ids, codes, at, own.filter(pa.array(at < 0))), kinds, strict=True)], ["doc_ids", "codes", "known", "rare"])
 
         for b in batches:
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py() or ""
                 if held and held + len(text) > BLOCK_CHARS:
                     yield row()
-                    ids, codes, rare, held = [], [], {}, 0
-                found = split(text)
-                c = list(map(index.get, found))
-                if None in c:
-                    c = [k if k is not None else known + rare.setdefault(w, len(rare)) for k, w in zip(c, found, strict=True)]
+                    ids, codes, index, held = [], [], _Numbers(), 0
                 ids.append(i.as_py())
-                codes.append(pack(np.array(c, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+                codes.append(pack(np.array(list(map(index.__getitem__, split(text))), np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
                 held += len(text) + 1
         if ids:
             yield row()
 
     def put(batches):
-        token, ranks = known_ids.value
+        lists, ranks = known_ids.value
         pieces = _kept(known_ids, "pieces", lambda v: {r: p for p, r in v[1].items()})
-        decode = lambda t: b"".join([pieces[x] for x in np.frombuffer(t, "<u4").tolist()])
-        common = _kept(known_ids, "decoded", lambda v: list(map(decode, v[0])))
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for at in range(b.num_rows):
-                doc_ids, codes, rare, merged = (b.column(k).slice(at, 1).flatten() for k in range(4))
-                mine = [x.astype("<u4").tobytes() for x in _split_lists(merged)]
+            for row in range(b.num_rows):
+                doc_ids, codes, known, rare, merged = (b.column(k).slice(row, 1).flatten() for k in range(5))
+                known = known.to_numpy(zero_copy_only=False)
+                mine = _token_bytes(merged)
                 for k in np.flatnonzero(merged.is_null().to_numpy(zero_copy_only=False)):
                     mine[k] = np.array(heap_merge(rare[int(k)].as_py().encode(), ranks), "<u4").tobytes()
-                own, texts = len(token), list(map(decode, mine))
+                found, mine = iter(_token_bytes(lists.take(pa.array(known[known >= 0])))), iter(mine)
+                token = [next(found if k >= 0 else mine) for k in known.tolist()]
+                texts = [b"".join([pieces[x] for x in np.frombuffer(t, "<u4").tolist()]) for t in token]
                 for a in range(0, len(doc_ids), 1000):
                     out_ids, out = [], []
                     for c in codes.slice(a, 1000).to_pylist():
                         raw = np.frombuffer(unpack(c), np.uint8)
                         code = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().tolist() if len(raw) else []
-                        out_ids.append(b"".join([token[k] if k < own else mine[k - own] for k in code]))
-                        out.append(b"".join([common[k] if k < own else texts[k - own] for k in code]))
+                        out_ids.append(b"".join([token[k] for k in code]))
+                        out.append(b"".join([texts[k] for k in code]))
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(a, 1000), pa.array(out_ids, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    blocks = docs.mapInArrow(lean(block), "doc_ids array<long>, codes array<binary>, rare array<string>")
+    blocks = docs.mapInArrow(lean(block), "doc_ids array<long>, codes array<binary>, known array<int>, rare array<string>")
     # written, so that the workers that split and those that join need not be in memory together
     blocks = materialize(blocks.withColumn("merged", F.transform("rare", lambda w: F.when(short(w), table.merge(bytes_of(w))))), "blocks")
     known_words.unpersist()
     return blocks.mapInArrow(lean(put), "doc_id long, ids binary, decoded binary")
 
 
-def _split_lists(lists: pa.ListArray) -> list[np.ndarray]:
-    """Each list of an Arrow list array as numpy; a null list is empty."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def positions(hashes: np.ndarray, words: pa.Array, asked: pa.Array) -> np.ndarray:
+    """Place of each asked string among words, which lie by their sorted hashes; -1 for one that is not there."""
+    if not len(hashes):
+        return np.full(len(asked), -1, np.int32)
+    at = np.minimum(np.searchsorted(hashes, string_hashes(asked)), len(hashes) - 1)
+    return np.where(pc.equal(words.take(pa.array(at)), asked).to_numpy(zero_copy_only=False), at, -1).astype(np.int32)
+
+
+def _token_bytes(lists: pa.ListArray) -> list[bytes]:
+    """Each list of ids of an Arrow list array as little-endian unsigned 32-bit; a null list is empty."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    ends = np.cumsum(4 * lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _held: dict[str, tuple[object, object]] = {}

@@ -180,6 +180,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return hashes, np.searchsorted(starts, offsets)
 
 
+def string_hashes(column: pa.Array) -> np.ndarray:
+    """Hash of every string of an Arrow column, taken whole."""
+    out = [np.zeros(0, np.uint64)]
+    for _, data, offsets in text_chunks(column):
+        power, inverse = _power(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        a, b = offsets[:-1], offsets[1:]
+        out.append(mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * _LANE[63]))
+    return np.concatenate(out)
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k words (k under 64); runs over text ends are the caller's to drop."""
     m = len(words) - k + 1

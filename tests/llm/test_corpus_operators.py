@@ -186,6 +186,37 @@ def test_bpe_is_tiktoken(spark):
     assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, engine.encode_ordinary("one"))).encode()).hexdigest()
 
 
+def test_bpe_words_of_several_blocks_are_merged_once(spark, monkeypatch):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 200)
+    texts = [" ".join(f"zq{k}xv{i // 2 if k else i}" for k in range(8)) for i in range(60)]  # all but the first word in two documents
+    docs, written = frame(spark, texts).repartition(4, "doc_id"), []
+    keep = bpe.materialize
+    monkeypatch.setattr(bpe, "materialize", lambda df, name, *a: written.append((name, keep(df, name, *a))) or written[-1][1])
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, bpe_ranks(), split_pattern()).collect()}
+    engine = tiktoken.Encoding("t", pat_str=split_pattern(), mergeable_ranks=bpe.load_ranks(bpe_ranks()), special_tokens={})
+    assert got == {i: engine.encode_ordinary(t) for i, t in enumerate(texts)}
+    rare = [w for r in dict(written)["blocks"].collect() for w in r.rare]
+    assert len(rare) == len(set(rare))  # a word that two blocks hold is among the common ones
+    assert bpe.COMMON > 1_000_000
+
+
+def test_positions_hold_the_word_itself():
+    import pyarrow as pa
+
+    words = pa.array(["a", "bb", "", "é", "ccc"])
+    hashes = common.string_hashes(words)
+    order = np.argsort(hashes)
+    words = words.take(pa.array(order))
+    asked = pa.array(["é", "zz", "", "ccc", "a", "b"])
+    at = bpe.positions(hashes[order], words, asked)
+    assert [words[int(k)].as_py() if k >= 0 else None for k in at] == ["é", None, "", "ccc", "a", None]
+    assert bpe.positions(hashes[:0], words.slice(0, 0), asked).tolist() == [-1] * 6
+    # one hash for all: only the word that stands there is found
+    assert bpe.positions(hashes[order], pa.array(["other"] * 5), asked).tolist() == [-1] * 6
+
+
 def test_packing_ids_and_places(spark):
     from tokenizers import Tokenizer
 
