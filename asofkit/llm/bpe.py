@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import drop_materialized, lean, materialize, most_counted, string_hashes
+from asofkit.llm.common import Numbers, drop_materialized, lean, materialize, most_counted, string_hashes
 from asofkit.llm.splitting import Splitter
 
 #: Longest word that the fold takes, characters of text in a block, and maps that the rank table is divided into.
@@ -144,7 +144,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def block(batches):
         split, pack = Splitter(pattern), zstandard.ZstdCompressor(1).compress
-        ids, codes, index, held = [], [], _Numbers(), 0
+        ids, codes, index, held = [], [], Numbers(), 0
 
         def row():
             own = pa.array(list(index), pa.string())
@@ -157,7 +157,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 text = text.as_py() or ""
                 if held and held + len(text) > BLOCK_CHARS:
                     yield row()
-                    ids, codes, index, held = [], [], _Numbers(), 0
+                    ids, codes, index, held = [], [], Numbers(), 0
                 ids.append(i.as_py())
                 codes.append(pack(np.array(list(map(index.__getitem__, split(text))), np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()))
                 held += len(text) + 1
@@ -194,14 +194,6 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return blocks.mapInArrow(lean(put), "doc_id long, ids binary, decoded binary")
 
 
-class _Numbers(dict):
-    """Numbers words as they are met."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def positions(hashes: np.ndarray, words: pa.Array, asked: pa.Array) -> np.ndarray:
     """Place of each asked string among words, which lie by their sorted hashes; -1 for one that is not there."""
     if not len(hashes):

@@ -42,6 +42,14 @@ def lean(f):
     return run
 
 
+class Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Fewer rows in an Arrow batch than Spark's 10,000: texts are long, and every batch is held on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asofkit.llm.common import lean, materialize, most_counted
+from asofkit.llm.common import Numbers, lean, materialize, most_counted
 
 #: Words broadcast, words with a class of their own, classes for the rest inside and outside the broadcast, tokens on either side, hidden units.
 VOCABULARY, HEAD, TAIL, WINDOW, HIDDEN = 30_000, 96, 16, 2, 32
@@ -58,21 +58,32 @@ class Network:
         return np.concatenate([edge, classes, edge])
 
     def hidden(self, sides: list[np.ndarray]) -> np.ndarray:
-        h = self.bias + self.embed[0][sides[0]]
+        h = self.embed[0].take(sides[0], 0)
         for e, s in zip(self.embed[1:], sides[1:], strict=True):
-            h += e[s]
+            h += e.take(s, 0)
+        h += self.bias
         return np.tanh(h, out=h)
 
+    @staticmethod
+    def exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shift of each row and sum of exp(row - shift), which z becomes; a shift is needed only where float32 would not hold exp(z)."""
+        shift = np.zeros((len(z), 1), np.float32)
+        if not (z.max() < 80 and z.min() > -80):
+            shift = z.max(1, keepdims=True)
+            z -= shift
+        np.exp(z, out=z)
+        return shift[:, 0], z @ np.ones(z.shape[1], np.float32)
+
     def log_prob(self, padded: np.ndarray, where: np.ndarray) -> np.ndarray:
         """log P(class at each place of padded | its sides)."""
         out = np.empty(len(where), np.float64)
         for a in range(0, len(where), 1024):
             at = where[a : a + 1024]
-            z = self.hidden([padded[at + k] for k in self.places]) @ self.out + self.out_bias
-            top = z.max(1)
+            z = self.hidden([padded[at + k] for k in self.places]) @ self.out
+            z += self.out_bias
             own = z[np.arange(len(at)), padded[at]]
-            z -= top[:, None]
-            out[a : a + 1024] = own - top - np.log(np.exp(z, out=z).sum(1))
+            shift, total = self.exp_sums(z)
+            out[a : a + 1024] = own - shift - np.log(total)
         return out
 
     def weights(self) -> np.ndarray:
@@ -93,23 +104,27 @@ class Network:
         embed, bias, out, out_bias = self._views(flat)
         g_embed, g_bias, g_out, g_out_bias = self._views(grad)
         self.embed, self.bias, self.out, self.out_bias = embed, bias, out, out_bias
-        units, place = np.arange(HIDDEN), [k * (CLASSES + 1) for k in range(len(self.places))]
+        place = np.arange(len(self.places))[:, None] * (CLASSES + 1)
+        # two units of the embeddings' gradient are added as one complex number
+        pairs, pair_of = g_embed.reshape(-1).view(np.complex64), np.arange(g_embed.size // 2).reshape(-1, HIDDEN // 2)
         for _ in range(passes):
             order = rng.permutation(where)
             for a in range(0, len(order), BATCH):
                 at = order[a : a + BATCH]
                 sides = [padded[at + k] for k in self.places]
                 h = self.hidden(sides)
-                z = h @ out + out_bias
-                z -= z.max(1, keepdims=True)
-                np.exp(z, out=z)
-                z *= 1 / (z.sum(1, keepdims=True) * np.float32(len(at)))
-                z[np.arange(len(at)), padded[at]] -= np.float32(1 / len(at))
-                back = (z @ out.T) * (1 - h * h)
-                # sums of back by place and class, all in one count
-                cell = (np.add.outer(place, np.zeros(len(at), np.int64)) + np.stack(sides)) * HIDDEN
-                g_embed[...] = np.bincount((cell[:, :, None] + units).ravel(), np.broadcast_to(back, (len(place), *back.shape)).ravel(), g_embed.size).reshape(g_embed.shape)
-                g_bias[...], g_out[...], g_out_bias[...] = back.sum(0), h.T @ z, z.sum(0)
+                z = h @ out
+                z += out_bias
+                _, total = self.exp_sums(z)
+                # z stands for total times the difference of both distributions; the division is made on the narrow side
+                z[np.arange(len(at)), padded[at]] -= total
+                scale = 1 / (total * np.float32(len(at)))
+                back = z @ out.T
+                back *= (1 - h * h) * scale[:, None]
+                g_bias[...], g_out[...], g_out_bias[...] = back.sum(0), (h * scale[:, None]).T @ z, scale @ z
+                # sums of back by place and class
+                g_embed[...] = 0
+                np.add.at(pairs, pair_of.take(place + np.stack(sides), 0).ravel(), np.broadcast_to(back, (len(place), *back.shape)).ravel().view(np.complex64))
                 t += 1
                 np.subtract(grad, first, out=part)
                 part *= 0.1
@@ -124,6 +139,9 @@ class Network:
                 np.divide(first, part, out=part)
                 part *= RATE / (1 - 0.9**t)
                 flat -= part
+                if t % 64 == 0:
+                    # decayed so far that a step no longer moves a weight; as denormal numbers they would cost many times as much
+                    first[np.abs(first) < 1e-25] = 0
 
     def _views(self, flat: np.ndarray) -> list[np.ndarray]:
         """The parts of an array of weights() in their shapes."""
@@ -142,6 +160,19 @@ def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(padded), np.concatenate([np.arange(a + WINDOW, a + len(p) - WINDOW) for a, p in zip(starts, padded, strict=False)])
 
 
+class _Endings(dict):
+    """Class and log share of the words not broadcast, by their last two letters."""
+
+    def __init__(self, shares):
+        super().__init__()
+        self.shares = list(shares)
+
+    def __missing__(self, end: str) -> tuple[int, float]:
+        c = _tail(end)
+        self[end] = found = (HEAD + TAIL + c, self.shares[c])
+        return found
+
+
 class Coder:
     """Classes of words, and the part of their log shares that needs no counts but the broadcast ones."""
 
@@ -156,16 +187,16 @@ class Coder:
             c = r if r < HEAD else HEAD + _tail(w)
             self.word[w] = (c, float(np.log(n / mass[c])))
         #: With one token more, for words never counted.
-        self.rare = [-float(np.log(m + 1)) for m in rare]
+        self.rare = _Endings(-float(np.log(m + 1)) for m in rare)
 
     def code(self, w: str) -> tuple[int, float]:
         """Class and log share of a word; for one not broadcast the logarithm of its count is still to be added."""
-        return self.word.get(w) or (HEAD + TAIL + _tail(w), self.rare[_tail(w)])
+        return self.word.get(w) or self.rare[w[-2:]]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, float, list[str]]]:
         """(classes, sum of the log shares of code(), words not broadcast) of each text."""
-        known: dict[str, int] = {}
-        rows = [np.array([known.setdefault(w, len(known)) for w in t.lower().split()], np.int64) for t in texts]
+        known = Numbers()
+        rows = [np.array(list(map(known.__getitem__, t.lower().split())), np.int64) for t in texts]
         names, pairs = list(known), [self.code(w) for w in known]
         classes, within = np.array([c for c, _ in pairs], np.uint8), np.array([x for _, x in pairs], np.float64)
         return [(classes[r], float(within[r].sum()), [names[k] for k in r[classes[r] >= HEAD + TAIL]]) for r in rows]

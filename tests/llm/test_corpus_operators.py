@@ -505,6 +505,35 @@ def test_masked_lm_trains_on_long_texts(spark, monkeypatch):
     assert x / n > -0.5
 
 
+def test_masked_lm_step_is_adam_on_the_gradient():
+    """One step, and the log-probabilities, against plain sums in double precision; a decayed moment doesn't stay as a denormal number."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    net, start = masked_lm.Network(), masked_lm.Network()
+    padded, where = masked_lm._joined([rng.integers(0, 40, k).astype(np.uint8) for k in (1, 30, 200)])
+    embed, bias, out, out_bias = (np.float64(getattr(start, k)) for k in ("embed", "bias", "out", "out_bias"))
+    sides = np.stack([padded[where + k] for k in start.places])
+    h = np.tanh(bias + sum(embed[p][s] for p, s in enumerate(sides)))
+    z = h @ out + out_bias
+    log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    assert np.allclose(start.log_prob(padded, where), log_p[np.arange(len(where)), padded[where]], atol=1e-5)
+    d = np.exp(log_p)
+    d[np.arange(len(where)), padded[where]] -= 1
+    d /= len(where)
+    back = (d @ out.T) * (1 - h * h)
+    g_embed = np.zeros_like(embed)
+    for p, s in enumerate(sides):
+        np.add.at(g_embed[p], s, back)
+    net.train(padded, where, 1)
+    for g, k in ((g_embed, "embed"), (back.sum(0), "bias"), (h.T @ d, "out"), (d.sum(0), "out_bias")):
+        step = masked_lm.RATE * g / (np.abs(g) + 1e-8)
+        sure = (np.abs(g) > 1e-6) | (g == 0)
+        assert np.allclose((getattr(start, k) - getattr(net, k))[sure], step[sure], atol=masked_lm.RATE * 0.03)
+    big = np.full((2, masked_lm.CLASSES), 500, np.float32)
+    big[1] = -500
+    shift, total = masked_lm.Network.exp_sums(big)
+    assert np.allclose(shift + np.log(total), np.array([500, -500]) + np.log(masked_lm.CLASSES))
+
+
 def test_components(spark):
     rng = np.random.Generator(np.random.PCG64(8))
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
